@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refgraph.llm import decontaminate, lines, packing, quality, simhash, winnow
+from refgraph.llm import codes, decontaminate, lines, packing, quality, simhash, substrings, winnow
 from refgraph.session import ship
 
 
@@ -23,6 +23,10 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents")).select("row.doc_id", "text", "removed")
 
@@ -36,10 +40,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "__scores.p_quality", "__scores.p_toxic")
 
 
+def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_winnowing, op4_line_dedup, op5_packing, op7_quality, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_winnowing, op3_substring_dedup, op4_line_dedup, op5_packing, op7_quality, op9_token_codes, op10_decontaminate)}
 
-SQL: dict[str, str] = {"op2_winnowing": winnow.SQL, "op4_line_dedup": lines.SQL, "op10_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op2_winnowing": winnow.SQL, "op3_substring_dedup": substrings.SQL, "op4_line_dedup": lines.SQL, "op10_decontaminate": decontaminate.SQL}

@@ -77,9 +77,9 @@ k as (select r, p, {", ".join(f"lead(m, {j}) over (partition by r order by p) as
 g0 as (select r, p, {tx.sql_kgram([f"m{j}" for j in range(K)])} as h from k where m{K - 1} is not null),
 g as (select r, p, {tx.sql_mixed("h")} as h from g0),
 v as (
-  select r, p, count(*) over ahead as n, arg_min(p, (h, -p)) over ahead as at
+  select r, p, count(*) over ahead as n, arg_min(p, (h, -p)) over ahead as place
   from g window ahead as (partition by r order by p rows between current row and {WINDOW - 1} following)),
-f as (select distinct r, at from v where n = {WINDOW} or p = 0),
-o as (select r, list(case when h >= 9223372036854775808 then (h::HUGEINT - 18446744073709551616)::BIGINT else h::BIGINT end order by at) as hashes, list(at::INT order by at) as positions from f join g on g.r = f.r and g.p = f.at group by r)
+f as (select distinct r, place from v where n = {WINDOW} or p = 0),
+o as (select f.r, list(case when h >= 9223372036854775808 then (h::HUGEINT - 18446744073709551616)::BIGINT else h::BIGINT end order by place) as hashes, list(place::INT order by place) as positions from f join g on g.r = f.r and g.p = f.place group by f.r)
 select doc_id, coalesce(hashes, []) as hashes, coalesce(positions, []) as positions from d left join o using (r)
 """
