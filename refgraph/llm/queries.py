@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refgraph.llm import codes, decontaminate, lines, packing, quality, simhash, substrings, winnow
+from refgraph.llm import codes, decontaminate, lines, packing, pii, quality, simhash, substrings, urls, winnow
 from refgraph.session import ship
 
 
@@ -35,11 +35,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with both probabilities."""
     return quality.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "__scores.p_quality", "__scores.p_toxic")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"), pii.train())
+
+
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.coded(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_winnowing, op3_substring_dedup, op4_line_dedup, op5_packing, op7_quality, op9_token_codes, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_winnowing, op3_substring_dedup, op4_line_dedup, op5_packing, op6_url_filter, op7_quality, op8_pii, op9_token_codes, op10_decontaminate)}
 
 SQL: dict[str, str] = {"op2_winnowing": winnow.SQL, "op3_substring_dedup": substrings.SQL, "op4_line_dedup": lines.SQL, "op10_decontaminate": decontaminate.SQL}
