@@ -254,6 +254,5 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, all their columns, and both probabilities in ``scores``."""
-    found = scores(docs, train(docs, labels)).where("keep")
-    return found.select("row.*", F.struct("p_quality", "p_toxic").alias("__scores"))
+    """(row, p_quality, p_toxic): the documents that the classifier keeps, each as a struct of all its columns."""
+    return scores(docs, train(docs, labels)).where("keep").drop("keep")

@@ -41,7 +41,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with both probabilities."""
-    return quality.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "__scores.p_quality", "__scores.p_toxic")
+    return quality.kept(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("row.doc_id", "p_quality", "p_toxic")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,15 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
 
+def rewritten(result: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to the checkpoint folder and read again, with the lineage cut."""
+    spark = result.sparkSession
+    ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    result.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each connected component, for all nodes of ``edges`` (a, b), by alternating
     large-star and small-star steps until nothing changes. Each round is checkpointed, so a lost executor costs one round.
