@@ -45,9 +45,9 @@ def _anchors(length: int, k: int):
             right = np.minimum(first[owner + 1], place + length)
             shape = (place - left) * 1000003 + (right - place)
             around = tx.mixed(tx.span_hashes(tx.mixed(h), left, right) + shape.astype(np.uint64) * np.uint64(tx.MIX)) if len(g) else g
-            rows = batch.take(pa.array(owner))
+            rows = [batch.column(i).take(pa.array(owner)) for i in (0, 1)]  # never the texts
             ints = [pa.array((x - first[owner]).astype(np.int32)) for x in (place, left, right)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), tx.longs(g), tx.longs(around), *ints], ["id", "th", "g", "around", "place", "left", "right"])
+            yield pa.RecordBatch.from_arrays([*rows, tx.longs(g), tx.longs(around), *ints], ["id", "th", "g", "around", "place", "left", "right"])
 
     return run
 
@@ -66,8 +66,8 @@ def _stretches(length: int, k: int):
             start = np.unique(np.repeat(first[owner] + low, count) + step)
             whose = np.searchsorted(first, start, "right") - 1
             hashes = tx.mixed(tx.span_hashes(tx.mixed(h), start, start + length)) if len(start) else np.zeros(0, np.uint64)
-            rows = batch.take(pa.array(whose))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), tx.longs(hashes), pa.array((start - first[whose]).astype(np.int32))], ["id", "th", "h", "left"])
+            rows = [batch.column(i).take(pa.array(whose)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*rows, tx.longs(hashes), pa.array((start - first[whose]).astype(np.int32))], ["id", "th", "h", "left"])
 
     return run
 
