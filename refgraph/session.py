@@ -31,3 +31,14 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def checkpointing(spark: SparkSession) -> None:
+    """Loops cut their lineage in the folder that the cluster names; a local session that names none gets one here."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="refgraph-"))

@@ -22,7 +22,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def plain(x):
     if isinstance(x, float):
         return "null" if x != x else f"{x:.6g}"
-    if x is None or x is pd.NaT:
+    if x is None or x is pd.NaT or x is pd.NA:
         return "null"
     if hasattr(x, "tolist"):
         x = x.tolist()
