@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from refgraph.llm import text as tx
 from refgraph.llm import winnow
-from refgraph.llm.shared import ready
+from refgraph.llm.shared import ready, rewritten
 
 LENGTH = 50
-K = 16
+K = 8
 
 
 def _anchors(length: int, k: int):
@@ -46,8 +46,8 @@ def _anchors(length: int, k: int):
             shape = (place - left) * 1000003 + (right - place)
             around = tx.mixed(tx.span_hashes(tx.mixed(h), left, right) + shape.astype(np.uint64) * np.uint64(tx.MIX)) if len(g) else g
             rows = [batch.column(i).take(pa.array(owner)) for i in (0, 1)]  # never the texts
-            ints = [pa.array((x - first[owner]).astype(np.int32)) for x in (place, left, right)]
-            yield pa.RecordBatch.from_arrays([*rows, tx.longs(g), tx.longs(around), *ints], ["id", "th", "g", "around", "place", "left", "right"])
+            place, room = pa.array((place - first[owner]).astype(np.int32)), pa.array((right - place).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*rows, tx.longs(g), tx.longs(around), place, room], ["id", "th", "g", "around", "place", "room"])
 
     return run
 
@@ -93,18 +93,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """(doc_id, start, end): maximal repeated ranges of words, from 0, end exclusive."""
     ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    key = f"id struct<id: {kind}>, th long"
-    source = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    seeds = source.mapInArrow(_anchors(length, k), f"{key}, g long, around long, place int, left int, right int").checkpoint()
-    alike = seeds.groupBy("g", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "place")).alias("one"))
-    shared = alike.groupBy("g").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
-    alike = alike.join(shared, "g").checkpoint()
-    whole = seeds.join(alike.where("n > 1").select("g", "around"), ["g", "around"]).select("id", "th", "left", "right")
-    opened = alike.where("kinds > 1").select("one.*").groupBy("id", "th").agg(F.collect_set("place").alias("places"))
-    texts = source.join(opened, ["id", "th"])
-    stretches = texts.mapInArrow(_stretches(length, k), f"{key}, h long, left int").checkpoint()
+    key = f"id struct<id: {kind}>, th int"
+    source = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    # Most anchors occur once: counts of the hashes alone decide that, and only the others move with all they carry.
+    seeds = rewritten(source.mapInArrow(_anchors(length, k), f"{key}, g long, around long, place int, room int"))
+    again = seeds.groupBy("g").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("g")
+    shared = rewritten(seeds.join(again, "g", "left_semi"))
+    alike = shared.groupBy("g", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "place")).alias("one"))
+    kinds = alike.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("g")
+    whole = shared.join(alike.where("n > 1").select("g", "around"), ["g", "around"], "left_semi")
+    whole = whole.select("id", "th", F.greatest(F.col("place") - (length - k), F.lit(0)).alias("left"), (F.col("place") + F.col("room")).alias("right"))
+    opened = alike.join(kinds, "g", "left_semi").select("one.*").groupBy("id", "th").agg(F.collect_set("place").alias("places"))
+    stretches = rewritten(source.join(opened, ["id", "th"]).mapInArrow(_stretches(length, k), f"{key}, h long, left int"))
     twice = stretches.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    part = stretches.join(twice, "h").select("id", "th", "left", (F.col("left") + length).alias("right"))
+    part = stretches.join(twice, "h", "left_semi").select("id", "th", "left", (F.col("left") + length).alias("right"))
     ranges = whole.unionByName(part).groupBy("id", "th").agg(F.collect_set(F.struct("left", "right")).alias("ranges"))
     return ranges.select("id.id", "ranges").mapInArrow(_merge, f"doc_id {kind}, start int, end int")
 
