@@ -33,8 +33,8 @@ from refgraph.llm import text as tx
 LABELS = ("O", "EMAIL", "IP", "CARD", "SECRET", "PHONE", "PHONE-I")
 BITS = 13
 PASSES = 8
-EXAMPLES = 600
-STEPS = 60
+EXAMPLES = 1000
+STEPS = 150
 CAPITALS = 12
 _EDGES = "\"'`<>[]{},;:!?"
 
@@ -91,7 +91,7 @@ def features(core: str, before: str, after: str) -> list[int]:
     if re.fullmatch(r"[A-Z0-9]{16,}", core) and not core.isdigit():
         out.append("capital key")
     if re.match(r"(?i)(AKIA|ASIA|sk[-_]|gh[pousr]_|xox|eyJ|AIza)", core):
-        out.append("key head")
+        out += ["key head", f"key head {min(len(core) // 4, 12)}"]
     if m := re.match(r"(?i)[\w.-]*(password|passwd|pwd|secret|token|api[-_]?key|access[-_]?key|auth)[\w.-]*\s*[=:]", core):
         out.append("assigned" if len(core) > m.end() + 3 else "assigning")
     if re.search(r"(?i)(password|passwd|pwd|secret|token|api[-_]?key|key)\W*$", before) or before in ("=", ":", ":="):
@@ -241,8 +241,8 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
     def other() -> list[tuple[str, str]]:
         return [(rng.choice([
             lambda: f"{rng.randint(1900, 2030)}", lambda: f"{rng.randint(1900, 2030)}-{number(2)}-{number(2)}", lambda: f"{number(1)}.{number(1)}", lambda: f"v{number(1)}.{number(1)}.{number(1)}", lambda: f"{number(1)}.{number(2)}.{number(1)}",
-            lambda: f"${number(2)}.{number(2)}", lambda: f"{number(2)}%", lambda: f"{number(rng.randint(1, 7))}", lambda: f"({number(1)})", lambda: f"{number(1)}.", lambda: f"{word()}={word()}", lambda: f"{number(2)}:{number(2)}", lambda: f"{word()}{number(1)}", lambda: f"{number(1)},{number(3)},{number(3)}",
-            lambda: f"@{word()}", lambda: "=", lambda: "==", lambda: f"{number(2)}-{number(2)}", lambda: f"#{number(4)}", lambda: f"{number(9)}", lambda: f"x=={number(1)}", lambda: f"{pick(caps[:26], 3)}{number(3)}", lambda: f"https://{word()}.com/{word()}?page={number(1)}", lambda: f"{word()}-{number(2)}", lambda: f"+{number(2)}%", lambda: pick(caps[:26], rng.randint(12, 20)) + rng.choice(["", "!!"]),
+            lambda: f"${number(2)}.{number(2)}", lambda: f"{number(2)}%", lambda: f"{number(rng.randint(1, 7))}", lambda: f"({number(1)})", lambda: f"{number(1)}.", lambda: f"{word()}={word()}", lambda: f"{number(2)}:{number(2)}", lambda: f"{word()}{number(rng.randint(1, 3))}", lambda: f"{number(1)},{number(3)},{number(3)}",
+            lambda: f"@{word()}", lambda: "=", lambda: "==", lambda: f"{number(2)}-{number(2)}", lambda: f"#{number(4)}", lambda: f"{number(9)}", lambda: f"x=={number(1)}", lambda: f"{pick(caps[:26], 3)}{number(3)}", lambda: f"https://{word()}.com/{word()}?page={number(1)}", lambda: f"{word()}-{number(2)}", lambda: f"+{number(2)}%", lambda: pick(caps[:26], rng.randint(12, 20)) + rng.choice(["", "!!"]), lambda: pick(hexa, rng.choice([24, 32, 40])),
         ])(), "O")]
 
     kinds = [email, phone, card, secret, lambda: [(".".join(str(rng.randint(0, 255)) for _ in range(4)), "IP")]]
@@ -250,8 +250,12 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
     for _ in range(count):
         text, marks, again = "", [], []
         for _ in range(rng.randint(4, 14)):
-            made = rng.choice(again) if again and rng.random() < 0.25 else rng.choice(kinds)() if rng.random() < 0.5 else other()
-            again.append(made)
+            repeat = bool(again) and rng.random() < 0.3
+            made = rng.choice(again) if repeat else rng.choice(kinds)() if rng.random() < 0.5 else other()
+            if repeat and len(made) == 3 and made[2][1] == "SECRET":
+                made = made[2:]  # named once, it may come back bare
+            elif not repeat:
+                again.append(made)
             for tok, label in made:
                 end = rng.choice(["", "", "", ".", ","]) if label in ("EMAIL", "IP", "CARD") else ""
                 if label:

@@ -1,7 +1,7 @@
 """Operator 6: URL filter. Host names are segmented into words, and multinomial naive Bayes scores host and path tokens.
 
-Segmentation: a unigram Viterbi over each host label. The unigram counts are those of all words of all pages, counted by an
-aggregation. No vocabulary is broadcast: every distinct label is cut into its substrings (up to ``LONGEST`` letters), those
+Segmentation: a unigram Viterbi over each host label. The unigram counts are those of the words of all pages' visible text
+and URL paths (a host isn't a word of its own just because it is a host), counted by an aggregation. No vocabulary is broadcast: every distinct label is cut into its substrings (up to ``LONGEST`` letters), those
 join the counts, and what joined comes back to its label, whose best split is then found among the words that do occur;
 a substring that is no word costs ``log(10 / (N * 10 ** letters))``. Of equally likely splits the one with the shortest last
 word wins, and so on backwards.
@@ -33,9 +33,10 @@ WORD = r"[\p{L}]+"
 
 
 def unigrams(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(word, n) over visible text and URLs of all pages."""
+    """(word, n) over visible text and URL paths of all pages."""
+    path = F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     visible = F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>|&[a-zA-Z#0-9]+;", " ")
-    words = F.concat(F.coalesce(F.regexp_extract_all(F.lower(visible), F.lit(f"({WORD})")), F.array().cast("array<string>")), F.coalesce(F.regexp_extract_all(F.lower(F.col(url_col)), F.lit(f"({WORD})")), F.array().cast("array<string>")))
+    words = F.concat(F.coalesce(F.regexp_extract_all(F.lower(visible), F.lit(f"({WORD})")), F.array().cast("array<string>")), F.coalesce(F.regexp_extract_all(path, F.lit(f"({WORD})")), F.array().cast("array<string>")))
     return pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,0 +1,305 @@
+"""The operators that SQL can't express, against brute force, exact round trips and held-out accuracy."""
+
+import itertools
+import json
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from refgraph.llm import codes, decontaminate, packing, pii, quality, queries, simhash, substrings, urls
+from refgraph.llm import text as tx
+from refgraph.llm.shared import components
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def _words(seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def test_bk_tree_is_exact():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
+    near = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, (40, 2), dtype=np.uint64)) for _ in range(5))])
+    fp = np.unique(near, axis=0)
+    shard = np.sort(rng.integers(0, 3, len(fp)))
+    parent, edge = simhash.bk_build(fp, shard)
+    assert all(p == -1 or int(simhash.hamming(fp[i : i + 1], fp[p : p + 1])[0]) == edge[i] for i, p in enumerate(parent))
+    for k in np.flatnonzero(parent >= 0):  # an integer distance names at most one child
+        assert sum((parent == parent[k]) & (edge == edge[k])) == 1
+    head = np.flatnonzero(np.diff(shard, prepend=-1))
+    root = np.repeat(head, np.diff(np.r_[head, len(fp)]))
+    for radius in (1, 4, 30):
+        got = {(int(a), int(b)) for q, n in simhash.bk_search(fp, parent, edge, np.arange(len(fp)), root, radius) for a, b in zip(q, n)}
+        want = {(i, j) for i in range(len(fp)) for j in range(len(fp)) if shard[i] == shard[j] and simhash.hamming(fp[i : i + 1], fp[j : j + 1])[0] <= radius}
+        assert got == want
+
+
+def test_simhash_recall(spark):
+    docs = []
+    for g in range(60):
+        words = _words(g, 150)
+        for c in range(4):
+            rng = random.Random(1000 * g + c)
+            copy = [w if rng.random() > 0.02 * c else f"edit{rng.randrange(9999)}" for w in words]
+            docs.append((4 * g + c, " ".join(copy)))
+    docs += [(1000 + i, " ".join(_words(5000 + i, 150))) for i in range(100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    _, prints, _ = simhash.signatures([t for _, t in docs])
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(docs)), 2) if simhash.hamming(prints[i : i + 1], prints[j : j + 1])[0] <= simhash.RADIUS]
+    group = {r.id: r.kept_id for r in simhash.groups(frame).collect()}
+    found = sum(group.get(docs[i][0], -1) == group.get(docs[j][0], -2) for i, j in pairs)
+    assert pairs and found / len(pairs) >= 0.9
+    assert not any(i >= 1000 for i in group)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[x] == find(x) for e in edges if e[0] != e[1] for x in e)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(0, 60), st.integers(1, 9), min_size=1, max_size=9), st.integers(1, 4))
+def test_boundaries_are_optimal(histogram, buckets):
+    lengths = np.array(sorted(histogram))
+    counts = np.array([histogram[x] for x in lengths])
+
+    def padding(edges):
+        return sum(c * (min(e for e in edges if e >= x) - x) for x, c in zip(lengths, counts))
+
+    edges = packing.boundaries(lengths, counts, buckets)
+    assert edges == sorted(set(edges)) and edges[-1] == lengths[-1] and len(edges) <= buckets
+    best = min(padding([*cut, lengths[-1]]) for k in range(buckets) for cut in itertools.combinations(lengths[:-1], k))
+    assert padding(edges) == best
+
+
+def test_batches(spark):
+    got = packing.packed(spark.read.parquet(f"{SMALL}/documents.parquet"), chunk_rows=20, budget=2000).toPandas()
+    assert got.doc_id.is_unique and len(got) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    inside = got[got.bucket >= 0]
+    for _, batch in inside.groupby("batch"):
+        assert batch.boundary.nunique() == 1 and batch.boundary.iloc[0] * len(batch) <= max(2000, batch.boundary.iloc[0])
+        assert sorted(batch.place) == list(range(len(batch))) and (batch.tokens <= batch.boundary).all()
+    for _, bucket in inside.groupby("bucket"):  # all batches of a bucket but one are full
+        full = max(1, 2000 // max(1, bucket.boundary.iloc[0]))
+        assert (bucket.groupby("batch").size() < full).sum() <= 1
+    assert (got[got.bucket < 0].tokens > 2000).all() and got[got.bucket < 0].batch.is_unique
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc", min_size=1, max_size=9), st.dictionaries(st.text("abc", min_size=1, max_size=4), st.integers(1, 50), max_size=12))
+def test_viterbi(label, counts):
+    total = sum(counts.values()) or 1
+    known = {(i, j): counts[label[i:j]] for i in range(len(label)) for j in range(i + 1, len(label) + 1) if label[i:j] in counts}
+
+    def score(words):
+        return sum(np.log(counts[w] / total) if w in counts else np.log(10 / total) - len(w) * np.log(10) for w in words)
+
+    ways = [[label[i:j] for i, j in zip((0, *cut), (*cut, len(label)))] for k in range(len(label)) for cut in itertools.combinations(range(1, len(label)), k)]
+    got = urls.split_label(label, known, total)
+    assert "".join(got) == label and score(got) == pytest.approx(max(map(score, ways)))
+
+
+def test_url_scores(spark):
+    rows = [(1, "http://cheapcasino.example.com/win/now", ""), (2, "http://freebets.example.com/win", ""), (3, "http://dailynews.example.com/world", ""), (4, "http://dailynews.example.org/now", ""), (5, "http://cheapwin.example.org/win", "")]
+    rows += [(10, "http://x.example.com/", "cheap cheap cheap casino casino free free bets bets daily daily news news win win")]
+    got = {r.page_id: r for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    tokens = {i: ["h:" + w for w in r.host_words] + ["p:" + w for w in u.split("/", 3)[3].split("/") if w] for i, u, _ in rows for r in [got[i]]}
+    seeded = {i: bool(set(got[i].host_words) & set(urls.SEEDS)) for i in tokens}
+    every = sorted({x for v in tokens.values() for x in v})
+    count = {c: {x: sum(v.count(x) for i, v in tokens.items() if seeded[i] == c) for x in every} for c in (True, False)}
+    for i, v in tokens.items():
+        odds = np.log((sum(seeded.values()) + 1) / (len(rows) - sum(seeded.values()) + 1))
+        for x in v:
+            odds += np.log((count[True][x] + 1) / (sum(count[True].values()) + len(every) + 1)) - np.log((count[False][x] + 1) / (sum(count[False].values()) + len(every) + 1))
+        assert got[i].log_odds == pytest.approx(odds, abs=2e-6)
+    assert got[1].bad and got[2].bad and not got[3].bad and got[5].log_odds > got[3].log_odds
+
+
+def test_factorisation_machine_identity():
+    rng = np.random.default_rng(1)
+    w, v = rng.normal(size=30), rng.normal(size=(30, 3))
+    rows = [rng.choice(30, rng.integers(0, 8), replace=False) for _ in range(20)]
+    starts = np.r_[0, np.cumsum([len(r) for r in rows])]
+    z, _ = quality.scored(0.5, w, v, np.concatenate(rows).astype(int), starts)
+    for got, r in zip(z, rows):
+        assert got == pytest.approx(0.5 + w[r].sum() + sum(v[i] @ v[j] for i, j in itertools.combinations(r, 2)))
+
+
+def test_quality_held_out(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality.train(docs, labels, rows=2500)
+    known = labels.orderBy("doc_id").toPandas()
+    trained = {r[0] for r in labels.selectExpr("doc_id", "quality", "toxic", "xxhash64(doc_id) h").orderBy("h", "doc_id").limit(2500).collect()}
+    got = quality.scores(docs, model).select("row.doc_id", "p_quality", "p_toxic", "keep").toPandas().merge(known, on="doc_id")
+    got = got[~got.doc_id.isin(trained)]
+    assert len(got) > 1000
+    assert ((got.p_quality >= 0.5) == (got.quality == 1)).mean() > 0.98 and ((got.p_toxic >= 0.5) == (got.toxic == 1)).mean() > 0.98
+    assert got.keep[(got.quality == 1) & (got.toxic == 0)].mean() > 0.99
+
+
+def test_pii_held_out():
+    field = pii.train(400, 80)
+    texts, gold = pii.examples(150, seed=99)
+    g = pii.graph(texts)
+    label = pii.beliefs(g, field)[0].argmax(axis=1)
+    known = {(t, a): x for t, marks in enumerate(gold) for a, _, x in marks}
+    right = [pii.LABELS[k] == known.get((t, a), "O") for t, a, k in zip(g.text.tolist(), g.begin.tolist(), label)]
+    assert np.mean(right) > 0.95
+
+
+def test_skip_edges_carry_labels():
+    """A token that is unclear where it stands alone takes the label of its equal far away."""
+    field = pii.train(400, 80)
+    text = "key = \"9f31c0aa7b21d4e65b0c77aa\" " + "word " * 200 + "9f31c0aa7b21d4e65b0c77aa"
+    g = pii.graph([text])
+    with_skips = pii.beliefs(g, field)[0]
+    alone = pii.beliefs(g._replace(a=g.a[: g.chains], b=g.b[: g.chains]), field)[0]
+    k = pii.LABELS.index("SECRET")
+    assert len(g.a) > g.chains and with_skips[-1, k] > alone[-1, k] - 1e-9
+    tree = pii.Graph(*(x for x in g))  # message passing is exact on a tree
+    n, labels = len(tree.text), len(pii.LABELS)
+    if n <= 4:
+        unary = np.zeros((n, labels))
+        np.add.at(unary, g.rows, field.emit[g.feature])
+        total = np.zeros((n, labels))
+        for y in itertools.product(range(labels), repeat=n):
+            s = sum(unary[i, c] for i, c in enumerate(y)) + sum(field.chain[y[a], y[b]] if e < g.chains else (y[a] == y[b]) * field.skip[y[a]] for e, (a, b) in enumerate(zip(g.a, g.b)))
+            for i, c in enumerate(y):
+                total[i, c] += np.exp(s)
+        exact = total / total.sum(axis=1, keepdims=True)
+        assert np.allclose(exact, np.exp(pii.beliefs(g, field, 40)[0]), atol=0.05)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 70_000), max_size=1600))
+def test_codes_round_trip(ids):
+    code = codes.encode(np.array(ids, np.uint32))
+    assert codes.decode(code).tolist() == ids
+    assert [codes.token_at(code, i) for i in range(len(ids))] == ids
+    with pytest.raises(IndexError):
+        codes.token_at(code, len(ids))
+
+
+def test_code_widths_are_cheapest():
+    ids = np.array([1, 3, 300, 5, 65000, 2, 7], np.uint32)
+    size = lambda way: sum((w + (j < len(way) - 1)) * int((ids >> sum(way[:j]) > 0).sum() if j else len(ids)) for j, w in enumerate(way))
+    assert size(codes.widths(ids)) == min(map(size, codes.splits(16)))
+
+
+def test_tokens_match_the_library(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    enc = codes.encoder(open(codes.VOCABULARY, "rb").read())
+    for r in codes.coded(docs).collect():
+        assert codes.decode(bytes(r.code)).tolist() == enc.encode_ordinary(texts[r.doc_id])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("a b c d e".split()), max_size=40), min_size=1, max_size=6))
+def test_substring_parts_against_all_pairs(rows):
+    """The steps of the operator on one machine, at a short length, against all pairs of windows."""
+    import pyarrow as pa
+
+    length, k = 6, 3
+    texts = [" ".join(r) for r in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(range(len(rows))), pa.array(texts)], ["id", "th", "text"])
+    seeds = [r for b in substrings._anchors(length, k)([batch]) for r in b.to_pylist()]
+    windows = {}
+    for i, r in enumerate(rows):
+        for p in range(len(r) - length + 1):
+            windows.setdefault(tuple(r[p : p + length]), []).append((i, p))
+    want = {(i, q) for at in windows.values() if len(at) > 1 for i, p in at for q in range(p, p + length)}
+    covered, opened = set(), {}
+    by = {}
+    for s in seeds:
+        by.setdefault(s["g"], {}).setdefault(s["around"], []).append(s)
+    for kinds in by.values():
+        for same in kinds.values():
+            if len(same) > 1:
+                covered |= {(s["id"], q) for s in same for q in range(max(0, s["place"] - (length - k)), s["place"] + s["room"])}
+            if len(kinds) > 1:
+                opened.setdefault(same[0]["id"], set()).add(same[0]["place"])
+    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(opened.get(i, ())) for i in range(len(rows))], pa.list_(pa.int32()))], ["id", "th", "text", "places"])
+    seen = {}
+    for b in substrings._stretches(length, k)([batch.filter(pa.array([i in opened for i in range(len(rows))]))]):
+        for r in b.to_pylist():
+            seen.setdefault(r["h"], set()).add((r["id"], r["left"]))
+    covered |= {(i, q) for at in seen.values() if len(at) > 1 for i, p in at for q in range(p, p + length)}
+    assert covered == want
+
+
+def test_pipeline_stages(spark):
+    """Each stage against what its operator, or brute force, says of the stage's own input."""
+    docs = queries.table(spark, SMALL, "documents")
+    columns = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "simhash near-dedup", "benchmark decontamination", "packing"]
+    kept = stages["quality classifier"](spark, docs, SMALL).cache()
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == columns and all((i in ids) == (x.quality == 1 and x.toxic == 0) for i, x in labels.items())
+
+    cut = stages["line dedup"](spark, kept, SMALL).cache()
+    seen, want = set(), {}
+    for r in sorted(kept.collect(), key=lambda r: r.doc_id):
+        rows = r.text.split("\n")
+        gone = set()
+        for p in range(len(rows) - 2):
+            w = tuple(rows[p : p + 3])
+            if any(x.strip(" ") for x in w):
+                if w in seen:
+                    gone |= {p, p + 1, p + 2}
+                seen.add(w)
+        text = "\n".join(x for p, x in enumerate(rows) if p not in gone)
+        if not gone or text.strip(" "):
+            want[r.doc_id] = text
+    assert {r.doc_id: r.text for r in cut.collect()} == want and cut.columns == columns
+
+    one = stages["simhash near-dedup"](spark, cut, SMALL).cache()
+    texts = [(r.doc_id, r.text) for r in cut.collect()]
+    have, prints, _ = simhash.signatures([t for _, t in texts])
+    left = {r.doc_id for r in one.collect()}
+    gone = [i for i in range(len(have)) if texts[have[i]][0] not in left]
+    for i in gone:  # what went has a near one before it; distinct texts stay
+        assert any(simhash.hamming(prints[i : i + 1], prints[j : j + 1])[0] <= simhash.RADIUS for j in range(len(have)) if j != i)
+    assert one.columns == columns
+
+    clean = stages["benchmark decontamination"](spark, one, SMALL).cache()
+    k = decontaminate.K
+    grams = lambda t: [tuple(w[i : i + k]) for w in [[t.lower()[a:b] for a, b in _spans(t)]] for i in range(len(w) - k + 1)]
+    items = [grams(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    for r in one.collect():
+        g = grams(r.text)
+        bad = any(len(set(g[p : p + len(x)]) & set(x)) >= np.ceil(decontaminate.THRESHOLD * len(set(x)) - 1e-9) for x in items if x for p in range(len(g)))
+        assert bad == (r.doc_id not in {c.doc_id for c in clean.collect()})
+    assert clean.columns == columns
+    packed = stages["packing"](spark, clean, SMALL)
+    assert sorted(r.doc_id for r in packed.collect()) == sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect())
+
+
+def _spans(t: str):
+    _, begin, end, _ = tx.spans([t])
+    return list(zip(begin.tolist(), end.tolist()))
+
+
+def test_results_are_plain(spark):
+    """Every query's result has integer ids and survives JSON."""
+    for name in ("op2_winnowing", "op8_pii"):
+        assert json.loads(queries.QUERIES[name](spark, SMALL).toJSON().first())["doc_id"] >= 0
