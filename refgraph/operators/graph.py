@@ -1,17 +1,82 @@
 """Closures, walks, paths and communities (F1-F37) as loops over DataFrames.
 
 Each round is checkpointed to the shared folder, so plans stay short and a lost executor costs a round at most. The driver
-sees counts, never rows.
+sees counts, never rows. A graph of at most ``SMALL`` edges and starts, which is counted first, is searched or walked by one
+task instead, since a round costs more than such a graph; results are the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refgraph.session import checkpointing
 
 ROUNDS = 200
+SMALL = 1_000_000
+
+
+def _small(*frames: DataFrame) -> bool:
+    return all(f.limit(SMALL + 1).count() <= SMALL for f in frames)
+
+
+def _searched(most: int):
+    """Breadth-first search of one task: rows (src, dst) are edges, rows without dst are starts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [b for b in batches if len(b)]
+        if not every:
+            return
+        rows = pd.concat(every)
+        begin = rows["start"].astype(bool).to_numpy()
+        names = np.array(sorted(set(rows["src"]) | set(rows["dst"][~begin])), dtype=object)
+        code = pd.Series(np.arange(len(names)), index=names)
+        src, dst = code.loc[rows["src"][~begin]].to_numpy(), code.loc[rows["dst"][~begin]].to_numpy()
+        order = np.lexsort((dst, src))
+        src, dst = src[order], dst[order]
+        first = np.searchsorted(src, np.arange(len(names) + 1))
+        depth, via = np.full(len(names), -1), np.full(len(names), -1)
+        level = np.unique(code.loc[rows["src"][begin]].to_numpy()) if begin.any() else np.zeros(0, np.int64)
+        depth[level] = 0
+        for d in range(1, most + 1):
+            n = first[level + 1] - first[level]
+            at = np.repeat(first[level] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at = at[depth[dst[at]] < 0]
+            level, where = np.unique(dst[at], return_index=True)  # the first is the least predecessor: levels ascend
+            if not len(level):
+                break
+            depth[level], via[level] = d, src[at[where]]
+        found = np.flatnonzero(depth >= 0)
+        yield pd.DataFrame({"id": names[found], "depth": depth[found].astype(np.int32), "via": [names[v] if v >= 0 else None for v in via[found]]})
+
+    return run
+
+
+def _walked(rounds: int, damping: float, tolerance: float):
+    """The walk of one task: rows (src, dst, p) are transitions, rows (src, restart) nodes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([b for b in batches if len(b)])
+        node = rows["restart"].notna().to_numpy()
+        names = rows["src"][node].to_numpy()
+        restart = rows["restart"][node].to_numpy(float)
+        code = pd.Series(np.arange(len(names)), index=names)
+        src, dst, p = code.loc[rows["src"][~node]].to_numpy(), code.loc[rows["dst"][~node]].to_numpy(), rows["p"][~node].to_numpy(float)
+        ends = np.ones(len(names), bool)
+        ends[src] = False
+        mass = restart
+        for _ in range(rounds):
+            new = damping * np.bincount(dst, mass[src] * p, minlength=len(names)) + (1 - damping + damping * mass[ends].sum()) * restart
+            moved, mass = np.abs(new - mass).sum(), new
+            if tolerance and moved < tolerance:
+                break
+        yield pd.DataFrame({"id": names, "mass": mass})
+
+    return run
 
 
 def depths(start: DataFrame, edges: DataFrame, most: int = ROUNDS) -> DataFrame:
@@ -20,6 +85,11 @@ def depths(start: DataFrame, edges: DataFrame, most: int = ROUNDS) -> DataFrame:
     checkpointing(start.sparkSession)
     edges = edges.select("src", "dst").distinct().checkpoint()
     kind = edges.schema["src"].dataType
+    if _small(edges, start):
+        rows = edges.select("src", "dst", F.lit(False).alias("start")).unionByName(start.select(F.col("id").cast(kind).alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(True).alias("start")))
+        name = kind.simpleString()
+        rows = rows.where("src is not null and (start or dst is not null)")
+        return rows.coalesce(1).mapInPandas(_searched(most), f"id {name}, depth int, via {name}")
     level = start.select(F.col("id").cast(kind).alias("id")).distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("via")).checkpoint()
     seen, levels = level, [level]
     for depth in range(1, most + 1):
@@ -93,6 +163,11 @@ def walk_mass(nodes: DataFrame, roots: DataFrame, weights: DataFrame, rounds: in
     if not total:
         return base.select("id", F.lit(0.0).alias("mass"))
     restart = F.coalesce("root", F.lit(0.0)) / found if found else F.lit(1.0 / total)
+    if total <= SMALL and _small(p):
+        kind = p.schema["src"].dataType
+        starts = base.select(F.col("id").cast(kind).alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("p"), restart.cast("double").alias("restart"))
+        rows = p.select("src", "dst", "p", F.lit(None).cast("double").alias("restart")).unionByName(starts)
+        return rows.coalesce(1).mapInPandas(_walked(rounds, damping, tolerance), f"id {kind.simpleString()}, mass double")
     out = p.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
     base = base.join(out, "id", "left").select("id", restart.alias("restart"), F.col("out").isNull().alias("dangling")).checkpoint()
     now = base.select("id", "restart", "dangling", F.col("restart").alias("mass"))

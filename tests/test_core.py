@@ -14,6 +14,13 @@ from refgraph.sources import code, declared
 from refgraph.streaming import census
 
 
+@pytest.fixture(params=["one task", "distributed"])
+def way(request, monkeypatch):
+    """Small graphs are searched by one task; the distributed loops must give the same."""
+    if request.param == "distributed":
+        monkeypatch.setattr(graph, "SMALL", -1)
+
+
 def edges(spark, text, strong=True):
     rows = [(a, b, 1.0, strong if len(r) == 0 else r[0] != "?") for e in text.split() for a, b, *r in [[*e[:2], *e[2:]]]]
     return spark.createDataFrame(rows, "src string, dst string, w double, strong boolean")
@@ -40,18 +47,18 @@ def ids(spark, text):
         ("AB", "cannot_reach", "", "R", "BROKEN"),
     ],
 )
-def test_contracts(spark, refs, kind, guard, sink, want):
+def test_contracts(way, spark, refs, kind, guard, sink, want):
     source = "RT" if "T" in refs else "R"
     assert graph.verdict(ids(spark, source), ids(spark, sink), edges(spark, refs), kind, ids(spark, guard)) == want
 
 
-def test_witness_is_the_least(spark):
+def test_witness_is_the_least(way, spark):
     reached = graph.depths(ids(spark, "R"), edges(spark, "RB RA AS BS SX XR"))
     assert graph.path(reached, "S") == ["R", "A", "S"] and graph.path(reached, "Q") == []
     assert {r.id: r.depth for r in reached.collect()} == {"R": 0, "A": 1, "B": 1, "S": 2, "X": 3}
 
 
-def test_walk_returns_dangling_mass(spark):
+def test_walk_returns_dangling_mass(way, spark):
     w = edges(spark, "ab ac ba")
     got = {r.id: r.mass for r in graph.walk_mass(ids(spark, "abc"), ids(spark, "a"), w).collect()}
     r, p = np.array([1.0, 0, 0]), np.array([[0, 0.5, 0.5], [1, 0, 0], [0, 0, 0]])
@@ -75,7 +82,7 @@ def test_modularity_of_two_triangles(spark):
     assert gain.gain == pytest.approx(2 * 1 / 14 - 2 * 49 / 196)
 
 
-def test_levels(spark):
+def test_levels(way, spark):
     symbols = spark.createDataFrame([("a", "f", 1, 10), ("m", "f", 2, 3), ("p", "f", 20, 21), ("w", "f", 22, 23), ("n", "f", 24, 25), ("x", "f", 30, 31)], "id string, file string, line int, end int")
     roots = spark.createDataFrame([("a", True), ("n", False)], "id string, product boolean")
     got = {}
