@@ -34,7 +34,7 @@ LABELS = ("O", "EMAIL", "IP", "CARD", "SECRET", "PHONE", "PHONE-I")
 BITS = 13
 PASSES = 8
 EXAMPLES = 1000
-STEPS = 150
+STEPS = 120
 CAPITALS = 12
 _EDGES = "\"'`<>[]{},;:!?"
 
@@ -178,25 +178,28 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` summed by ``at``."""
+    return np.stack([np.bincount(at, values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
+
+
 def beliefs(g: Graph, field: Field, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
     """Log marginals of nodes, and of edges, after so many rounds of message passing."""
     n, m, labels = len(g.text), len(g.a), len(LABELS)
-    unary = np.zeros((n, labels))
-    if n:
-        np.add.at(unary, g.rows, field.emit[g.feature])
+    unary = _sums(g.rows, field.emit[g.feature], n) if n else np.zeros((0, labels))
     pair = np.concatenate([np.broadcast_to(field.chain, (g.chains, labels, labels)), np.broadcast_to(np.diag(field.skip), (m - g.chains, labels, labels))]) if m else np.zeros((0, labels, labels))
     forth, back = np.zeros((m, labels)), np.zeros((m, labels))
     for _ in range(passes if m else 0):
-        total = unary.copy()
-        np.add.at(total, g.b, forth)
-        np.add.at(total, g.a, back)
-        f = _normal(np.logaddexp.reduce((total[g.a] - back)[:, :, None] + pair, axis=1))
-        r = _normal(np.logaddexp.reduce((total[g.b] - forth)[:, None, :] + pair, axis=2))
+        total = unary + _sums(g.b, forth, n) + _sums(g.a, back, n)
+        f = _normal(_logsum((total[g.a] - back)[:, :, None] + pair, 1))
+        r = _normal(_logsum((total[g.b] - forth)[:, None, :] + pair, 2))
         forth, back = 0.3 * forth + 0.7 * f, 0.3 * back + 0.7 * r
-    total = unary
-    if m:
-        np.add.at(total, g.b, forth)
-        np.add.at(total, g.a, back)
+    total = unary + _sums(g.b, forth, n) + _sums(g.a, back, n) if m else unary
     joint = (total[g.a] - back)[:, :, None] + (total[g.b] - forth)[:, None, :] + pair
     return _normal(total), _normal(joint.reshape(m, labels * labels)).reshape(m, labels, labels)
 
@@ -274,18 +277,19 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
 def train(count: int = EXAMPLES, steps: int = STEPS) -> Field:
     texts, gold = examples(count)
     g = graph(texts)
+    used = np.unique(g.feature)
+    g = g._replace(feature=np.searchsorted(used, g.feature))  # weights of features never seen stay 0
     known = {(t, a): LABELS.index(label) for t, marks in enumerate(gold) for a, _, label in marks}
     y = np.array([known.get((t, a), 0) for t, a in zip(g.text.tolist(), g.begin.tolist())])
     n = len(LABELS)
-    params = [np.zeros((1 << BITS, n)), np.zeros((n, n)), np.zeros(n)]
+    params = [np.zeros((len(used), n)), np.zeros((n, n)), np.zeros(n)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     chain, skip = slice(0, g.chains), slice(g.chains, None)
     for t in range(1, steps + 1):
-        nodes, edges = beliefs(g, Field(*params))
+        nodes, edges = beliefs(g, Field(*params), 4)
         error = np.exp(nodes)
         error[np.arange(len(y)), y] -= 1
-        emit = np.zeros_like(params[0])
-        np.add.at(emit, g.feature, error[g.rows])
+        emit = _sums(g.feature, error[g.rows], len(used))
         inner = np.exp(edges)
         expected = inner[chain].sum(axis=0)
         np.add.at(expected, (y[g.a[chain]], y[g.b[chain]]), -1)
@@ -296,7 +300,9 @@ def train(count: int = EXAMPLES, steps: int = STEPS) -> Field:
             d = d / count + 1e-4 * p
             m[0], m[1] = 0.9 * m[0] + 0.1 * d, 0.99 * m[1] + 0.01 * d**2
             p -= 0.15 * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-9)
-    return Field(*params)
+    emit = np.zeros((1 << BITS, n))
+    emit[used] = params[0]
+    return Field(emit, *params[1:])
 
 
 def entities(texts: list[str | None], field: Field) -> list[tuple[int, int, int, str]]:
