@@ -34,9 +34,9 @@ LABELS = ("O", "EMAIL", "IP", "CARD", "SECRET", "PHONE", "PHONE-I")
 BITS = 13
 PASSES = 8
 EXAMPLES = 1000
-STEPS = 120
+STEPS = 160
 CAPITALS = 12
-_EDGES = "\"'`<>[]{},;:!?"
+_EDGES = "\"'`<>[]{},;:!?#$%&*~^|"
 
 
 class Field(NamedTuple):
