@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def subtokens(name: Column | str) -> Column:
     """C14: lower-case pieces of snake and camel case longer than two letters."""
-    pieces = F.regexp_extract_all(name, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+)"))
+    pieces = F.regexp_extract_all(name, F.lit(r"([0-9]+|[A-Z]{2,}(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+)"))
     return F.filter(F.transform(pieces, lambda x: F.lower(x)), lambda x: F.length(x) > 2)
 
 

@@ -132,7 +132,7 @@ def dead_match_classify(t: Tables):
     before = F.regexp_extract("line", r"^(.*?)\bhelper\b", 1)
     kind = (
         F.when(F.col("file").endswith(".md"), "doc").when(F.col("file").endswith(".pyi"), "declaration").when(F.trim("line").startswith("#"), "comment")
-        .when(F.col("line").rlike(r"^\s*(async\s+)?(def|class)\s+helper\b"), "definition")
+        .when(F.col("line").rlike(r"^\s*(class|def|async +def) +helper\b"), "definition")
         .when((F.length(F.regexp_replace(before, "[^\"']", "")) % 2) == 1, "string").otherwise("code")
     )
     each = lines.withColumn("kind", kind).groupBy("kind").agg(F.count(F.lit(1)).alias("lines"))

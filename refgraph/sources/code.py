@@ -20,8 +20,9 @@ from refgraph.session import ship
 
 SCHEMA = "project string, file string, kind string, line int, end int, name string, detail string, strength double, lexical boolean, seq int"
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_OWN = (ast.ClassDef, *_DEFS)
 _BUILTIN = frozenset(dir(builtins))
-_SCOPES = (*_DEFS, ast.Lambda, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+_SCOPES = (ast.GeneratorExp, ast.ListComp, ast.DictComp, ast.SetComp, ast.Lambda)
 LEAST_STATEMENTS, LEAST_BLOCK = 4, 3
 
 
@@ -36,7 +37,8 @@ def bound_names(fn: ast.AST) -> set[str]:
 
     def visit(node: ast.AST, inside: tuple[ast.AST, ...]) -> None:
         for child in ast.iter_child_nodes(node):
-            if isinstance(child, (*_DEFS, ast.ClassDef)):
+            own = isinstance(child, _OWN)
+            if own:
                 continue
             around = (*inside, child) if isinstance(child, _SCOPES) else inside
             if isinstance(child, ast.Lambda):
@@ -84,7 +86,8 @@ def skeleton(body: list[ast.stmt], least: int) -> str | None:
 def _blocks(node: ast.AST, label: str = "") -> Iterator[tuple[str, list[ast.stmt]]]:
     """Bodies of control statements, not those of nested definitions."""
     for child in ast.iter_child_nodes(node):
-        if isinstance(child, (*_DEFS, ast.ClassDef)):
+        own = isinstance(child, _OWN)
+        if own:
             continue
         kind = {ast.If: "if", ast.For: "for", ast.AsyncFor: "for", ast.While: "while", ast.With: "with", ast.AsyncWith: "with", ast.Try: "try", ast.ExceptHandler: "except"}.get(type(child))
         if kind:
@@ -148,7 +151,7 @@ def extract(text: str) -> list[tuple]:
     scopes(tree, frozenset())
     branches(tree, None)
     for node in ast.walk(tree):
-        if isinstance(node, (*_DEFS, ast.ClassDef)):
+        if isinstance(node, _OWN):
             add("symbol", node.lineno, node.end_lineno, node.name, "class" if isinstance(node, ast.ClassDef) else "function")
             for d in node.decorator_list:
                 if name := _dotted(d):

@@ -19,16 +19,15 @@ class Config:
     """A3: what a project declares; groups keep the order of their declaration, which decides ties."""
 
     name: str = "main"
-    root: str = "."
-    root_dirs: tuple[str, ...] = ()
-    product_dirs: tuple[str, ...] = ()
-    exclude: tuple[str, ...] = ()
+    folder: str = "."
+    shipped: tuple[str, ...] = ()
+    entered: tuple[str, ...] = ()
+    skipped: tuple[str, ...] = ()
     modules: tuple[tuple[str, str], ...] = ()
+    contracts: tuple[dict, ...] = field(default=())
     areas: tuple[tuple[str, str], ...] = ()
-    locks: tuple[dict, ...] = field(default=())
-    min_statements: int = 4
-    min_statements_block: int = 3
-    jaccard_threshold: float = 0.8
+    alike: float = 0.8
+    least: tuple[int, int] = (4, 3)
 
     def groups(self, spark: SparkSession, kind: str = "modules") -> DataFrame:
         rows = [(n, p, i) for i, (n, p) in enumerate(getattr(self, kind))]
@@ -39,7 +38,10 @@ def load(path: str) -> Config:
     raw = tomllib.loads(Path(path).read_text())
     project, roots, dup = raw.get("project", {}), raw.get("roots", {}), raw.get("duplicates", {})
     flat = lambda d: tuple((n, p) for n, ps in d.items() for p in ([ps] if isinstance(ps, str) else ps))
-    return Config(project.get("name", "main"), project.get("root", "."), tuple(roots.get("dirs", ())), tuple(roots.get("product_dirs", ())), tuple(raw.get("exclude", {}).get("patterns", ())), flat(raw.get("modules", {})), flat(raw.get("areas", {})), tuple(raw.get("locks", ())), dup.get("min_statements", 4), dup.get("min_statements_block", 3), dup.get("jaccard_threshold", 0.8))
+    return Config(
+        name=project.get("name", "main"), folder=project.get("root", "."), shipped=tuple(roots.get("product_dirs", ())), entered=tuple(roots.get("dirs", ())), skipped=tuple(raw.get("exclude", {}).get("patterns", ())),
+        modules=flat(raw.get("modules", {})), areas=flat(raw.get("areas", {})), contracts=tuple(raw.get("locks", ())), alike=dup.get("jaccard_threshold", 0.8), least=(dup.get("min_statements", 4), dup.get("min_statements_block", 3)),
+    )
 
 
 def discover(start: str, name: str) -> str | None:

@@ -181,7 +181,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r.file for r in declared.snapshot(spark, str(tmp_path), "HEAD").collect()} == {"pkg/a.py", "build/b.py"}
     (tmp_path / "c.toml").write_text('[project]\nname = "x"\n[modules]\nm = ["a/", "b/"]\n[exclude]\npatterns = ["t"]\n')
     config = declared.load(str(tmp_path / "c.toml"))
-    assert [tuple(r) for r in config.groups(spark).collect()] == [("m", "a/", 0), ("m", "b/", 1)] and config.jaccard_threshold == 0.8
+    assert [tuple(r) for r in config.groups(spark).collect()] == [("m", "a/", 0), ("m", "b/", 1)] and config.alike == 0.8 and config.skipped == ("t",)
     assert declared.discover(str(tmp_path / "pkg"), "c.toml") == str(tmp_path / "c.toml")
     e = spark.createDataFrame([("a", 'b"', 2.0)], "src string, dst string, w double")
     assert '-->|2|' in declared.mermaid(e) and json.loads(declared.json_lines(e, "bounded").first().json)["caveat"] == "bounded"
