@@ -48,12 +48,8 @@ union all select id, 'NOT_PRODUCT' from reach where id not in (from prod) union
 union all select id, 'DEAD' from parts where id not in (from reach)""")
 def liveness_levels(t: Tables):
     """F1-F4, S2."""
-    return graph.levels(b.parts(t), b.roots(t), b.returned(t).checkpoint() if _ready(t) else b.returned(t), _nested(t))
-
-
-def _ready(t: Tables) -> bool:
     checkpointing(t.spark)
-    return True
+    return graph.levels(b.parts(t), b.roots(t), b.returned(t).checkpoint(), _nested(t).checkpoint())
 
 
 _WALK = b.chained(

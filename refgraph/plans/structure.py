@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from refgraph.operators import graph, joins, similarity
 from refgraph.plans import bindings as b
 from refgraph.plans.registry import Tables, query
+from refgraph.session import checkpointing
 
 
 @query(r"select doc_id, source, lang from documents where not starts_with(source, 'src1') and not regexp_matches(text, '[%#$&*]{3} | \| |!! ')")
@@ -378,8 +379,6 @@ c as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as com
 select a, b, common, round(common / (na + nb - common), 6) as jaccard from c where common / (na + nb - common) >= 0.8 and common >= 3""")
 def clones_near(t: Tables):
     """Pairs of documents with Jaccard >= 0.8 over word 5-grams."""
-    from refgraph.session import checkpointing
-
     checkpointing(t.spark)
     return similarity.near_pairs(t["documents"].select("doc_id", "text"), "doc_id", "text").select("a", "b", F.col("common").cast("long").alias("common"), F.round("jaccard", 6).alias("jaccard"))
 
@@ -412,8 +411,6 @@ def exists_lookup(t: Tables):
 
     Candidates share a hash of their sketches, found by an equi-join.
     """
-    from refgraph.session import checkpointing
-
     checkpointing(t.spark)
     n = t["documents"].select("doc_id", "source", _shape("text").alias("shape"), similarity.signature(F.col("text")).alias("s")).checkpoint()
     keys = n.select("doc_id", "source", F.explode(F.array_append("s", F.col("shape"))).alias("k"))
@@ -444,9 +441,8 @@ def map_rollup_nodes(t: Tables):
     """Members and references of modules, of files and of all."""
     refs = b.returned(t).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("refs"))
     d = b.parts(t).select("id", "module", "file").join(refs, "id", "left").fillna(0, ["refs"])
-    d.createOrReplaceTempView("refgraph_rollup")
-    return t.spark.sql("""select case when grouping(module) = 0 then 'module' when grouping(file) = 0 then 'file' else 'all' end as level, module, file, count(*) as members, sum(refs) as refs
-        from refgraph_rollup group by grouping sets ((module), (file), ())""")
+    level = F.when(F.grouping("module") == 0, "module").when(F.grouping("file") == 0, "file").otherwise("all")
+    return d.groupingSets([["module"], ["file"], []], "module", "file").agg(level.alias("level"), F.count(F.lit(1)).alias("members"), F.sum("refs").alias("refs"))
 
 
 @query(f"""with {b.RETURNED}, {b.PARTS} select s.module as src, d.module as dst, count(*) as refs, count(*) filter (strong) as unambiguous, list(src || '>' || dst order by src, dst)[1:3] as evidence
