@@ -1,8 +1,11 @@
 """Operator 8: personal data and secrets, by a skip-chain conditional random field.
 
-Tokens are cut at white space. The field's nodes are the tokens that hold a digit, ``@``, ``=`` or ``CAPITALS``
-capital letters (keys may have no digit); entity labels are allowed on them alone, so every other token is O whatever its neighbours are and needs no node. Successive nodes share a chain
-potential. Skip edges join each token to the next equal or similar one of its document (equal after edge punctuation, case
+Tokens are cut at white space, quotes, commas, semicolons, bars, ``&``, brackets and the signs ``=`` and ``:``, so a line
+without blanks has as many as its values; of ``password=x`` the entity is ``x``. A whole token is looked at, however long.
+The field's nodes are the tokens that hold a digit, ``@`` or ``CAPITALS`` capital letters (keys may have no digit), and those
+that a sign joins to a key word; entity labels are allowed on them alone, so every other token is O whatever its neighbours
+are and needs no node. Successive nodes with only blanks between share a chain potential. A secret goes on over signs inside
+it (``password=ab:cd``), but ends at commas, quotes, brackets, bars and ``&``. Skip edges join each token to the next equal or similar one of its document (equal after edge punctuation, case
 and separators are dropped, or with the same part after ``@``), at any distance; what they share favours equal
 labels. Loopy message passing (sum-product, damped) over both kinds of edges gives every node's label; it runs over all
 documents of a slice at once, since no edge leaves a document.
@@ -36,6 +39,8 @@ PASSES = 8
 EXAMPLES = 1000
 STEPS = 160
 CAPITALS = 12
+_KEY = re.compile(r"(?i)(password|passwd|pwd|secret|token|api[-_]?key|access[-_]?key|auth|key)[\w.-]*$")
+_CUTS = "\"`<>[]{},;|&=:\u201c\u201d\u00ab\u00bb\uff0c\uff1b\uff1a\u3001"
 _EDGES = "\"'`<>[]{},;:!?#$%&*~^|"
 
 
@@ -51,6 +56,22 @@ def _space() -> np.ndarray:
     return tx._cache["space"]
 
 
+def _cuts(cps: np.ndarray) -> np.ndarray:
+    """Where tokens are cut besides white space. An apostrophe between letters stays; ``(`` and ``)`` cut only after a letter."""
+    if "cuts" not in tx._cache:
+        tx._cache["cuts"] = np.isin(np.arange(0x110000), [ord(c) for c in _CUTS])
+    letter = ((cps | 32) >= 97) & ((cps | 32) <= 122) | (cps >= 192)
+    after, before = np.roll(letter, 1), np.roll(letter, -1)
+    out = tx._cache["cuts"][cps] | (cps == 39) & ~(after & before) | ((cps == 40) | (cps == 41)) & after
+    lines = np.flatnonzero(_space()[cps])
+    at = np.flatnonzero(cps == 64)
+    slash = np.flatnonzero(cps == 47)
+    if len(at) and len(slash):  # addresses may be listed with slashes
+        word = np.searchsorted(lines, at)
+        out[slash[np.isin(np.searchsorted(lines, slash), word)]] = True
+    return out
+
+
 def stripped(token: str) -> tuple[int, int]:
     """What is left of a token without punctuation at its edges."""
     a, b = 0, len(token)
@@ -73,8 +94,9 @@ def _ascii(x: str) -> str:
     return "".join(c for c in x if c in "0123456789")
 
 
-def features(core: str, before: str, after: str) -> list[int]:
-    """Numbers of a node's features; ``before`` and ``after`` are the neighbouring tokens."""
+def features(core: str, before: str, after: str, sign: bool, blank: bool) -> list[int]:
+    """Numbers of a node's features; ``before`` and ``after`` are the neighbouring tokens, ``sign`` and ``blank`` tell of a
+    sign and of white space between the first and the node."""
     shape = re.sub(r"\d", "9", core)
     short = re.sub(r"[^\W\d_]+", "a", re.sub(r"9+", lambda m: "9" * min(len(m[0]), 5), shape))[:40]
     digits = _ascii(core)
@@ -92,10 +114,12 @@ def features(core: str, before: str, after: str) -> list[int]:
         out.append("capital key")
     if re.match(r"(?i)(AKIA|ASIA|sk[-_]|gh[pousr]_|xox|eyJ|AIza)", core):
         out += ["key head", f"key head {min(len(core) // 4, 12)}"]
-    if m := re.match(r"(?i)[\w.-]*(password|passwd|pwd|secret|token|api[-_]?key|access[-_]?key|auth)[\w.-]*\s*[=:]", core):
-        out.append("assigned" if len(core) > m.end() + 3 else "assigning")
-    if re.search(r"(?i)(password|passwd|pwd|secret|token|api[-_]?key|key)\W*$", before) or before in ("=", ":", ":="):
-        out.append("after key" if before not in ("=", ":", ":=") else "after sign")
+    if _KEY.search(before):
+        out.append("after key" if sign else "after key word")
+        if sign:
+            out += [f"key {blank} {min(len(core) // 4, 12)}", f"key {blank} {core.isalpha()} {min(len(core) // 4, 12)}"]
+    elif sign:
+        out.append("after sign")
     if re.fullmatch(r"\+\d{1,3}", core):
         out.append("country")
     for name, x in (("b", before), ("n", after)):
@@ -106,7 +130,8 @@ def features(core: str, before: str, after: str) -> list[int]:
 
 
 class Graph(NamedTuple):
-    """Nodes in order of document and place, their features, and edges; chain edges come first in ``a`` and ``b``."""
+    """Nodes in order of document and place, their features, and edges; chain edges come first in ``a`` and ``b``. ``run``: the
+    end of the tokens that signs join to the node, or 0."""
 
     text: np.ndarray
     begin: np.ndarray
@@ -116,6 +141,7 @@ class Graph(NamedTuple):
     a: np.ndarray
     b: np.ndarray
     chains: int
+    run: np.ndarray
 
 
 def similar(core: str) -> list[str]:
@@ -129,15 +155,15 @@ def similar(core: str) -> list[str]:
 
 def graph(texts: list[str | None]) -> Graph:
     cps, starts = tx.codepoints([t or "" for t in texts])
-    solid = ~_space()[cps]
+    space = _space()[cps]
+    solid = ~space & ~_cuts(cps)
     solid[starts[1:] - 1] = False
     edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
     begin, end = edge[0::2], edge[1::2]
     mark = np.zeros(len(cps) + 1, np.int64)
-    np.cumsum(((cps >= 48) & (cps <= 57)) | (cps == 64) | (cps == 61), out=mark[1:])
+    np.cumsum(((cps >= 48) & (cps <= 57)) | (cps == 64), out=mark[1:])
     capital = np.zeros(len(cps) + 1, np.int64)
     np.cumsum((cps >= 65) & (cps <= 90), out=capital[1:])
-    at = np.flatnonzero((mark[end] > mark[begin]) | (capital[end] - capital[begin] >= CAPITALS))
     owner = np.searchsorted(starts, begin, "right") - 1
 
     def token(k: int, text: int) -> str:
@@ -145,7 +171,22 @@ def graph(texts: list[str | None]) -> Graph:
             return ""
         return texts[text][begin[k] - starts[text] : end[k] - starts[text]]
 
-    text, b0, e0, rows, feats, chain, skip = [], [], [], [], [], [], []
+    def between(table: np.ndarray) -> np.ndarray:
+        """How many such characters stand between a token and the one before it."""
+        sums = np.zeros(len(cps) + 1, np.int64)
+        np.cumsum(table, out=sums[1:])
+        return sums[begin] - sums[np.r_[0, end[:-1]]] if len(begin) else np.zeros(0, np.int64)
+
+    first = np.diff(owner, prepend=-1) != 0
+    sign = (between((cps == 61) | (cps == 58) | (cps == 0xFF1A)) > 0) & ~first
+    blank = between(space) > 0
+    only = ~first & (between(~space) == 0)
+    bare = sign & (np.r_[0, begin[1:] - end[:-1]][: len(begin)] == 1)
+    strong = (mark[end] > mark[begin]) | (capital[end] - capital[begin] >= CAPITALS)
+    for k in np.flatnonzero(sign & ~strong).tolist():
+        strong[k] = _KEY.search(token(k - 1, int(owner[k]))) is not None
+    at = np.flatnonzero(strong)
+    text, b0, e0, run, rows, feats, chain, skip = [], [], [], [], [], [], [], []
     last: dict[tuple[int, str], int] = {}
     previous = -2
     for k in at.tolist():
@@ -157,20 +198,24 @@ def graph(texts: list[str | None]) -> Graph:
             x, y = 0, len(raw)
         i = len(text)
         text.append(t)
+        stop = k + 1
+        while stop < len(begin) and bare[stop] and owner[stop] == t and not _KEY.search(token(stop - 1, t)):
+            stop += 1
+        run.append(int(end[stop - 1] - starts[t]) if stop > k + 1 else 0)
         b0.append(int(begin[k] - starts[t]) + x)
         e0.append(int(begin[k] - starts[t]) + y)
-        f = features(core[:200], token(k - 1, t)[-40:], token(k + 1, t)[:40])
+        f = features(core, token(k - 1, t), token(k + 1, t), bool(sign[k]), bool(blank[k]))
         rows += [i] * len(f)
         feats += f
-        if previous == k - 1 and i and text[i - 1] == t:
+        if previous == k - 1 and only[k] and i and text[i - 1] == t:
             chain.append((i - 1, i))
         previous = k
-        for name in similar(core[:200]):
+        for name in similar(core):
             if (t, name) in last:
                 skip.append((last[t, name], i))
             last[t, name] = i
     pairs = np.array([*chain, *skip], np.int64).reshape(-1, 2)
-    return Graph(*(np.array(v, np.int64) for v in (text, b0, e0, rows, feats)), pairs[:, 0], pairs[:, 1], len(chain))
+    return Graph(*(np.array(v, np.int64) for v in (text, b0, e0, rows, feats)), pairs[:, 0], pairs[:, 1], len(chain), np.array(run, np.int64))
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -213,6 +258,8 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
     word = lambda: pick(letters, rng.randint(1, 11))
 
     def email() -> list[tuple[str, str]]:
+        if rng.random() < 0.2:
+            return [(f"{word()}@{word()}.{rng.choice(['com', 'org', 'net', 'de', 'io'])}", "EMAIL")]
         return [(f"{word()}{rng.choice(['', '.', '_', '+'])}{rng.choice([word(), number(2), '.' + number(2)])}@{word()}{rng.choice(['', number(1)])}{rng.choice(['', '.' + word(), '.example'])}.{rng.choice(['com', 'org', 'net', 'de', 'io', 'co.uk'])}".replace("..", "."), "EMAIL")]
 
     def phone() -> list[tuple[str, str]]:
@@ -231,7 +278,8 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
         return [(d if rng.random() < 0.8 else "-".join(d[i : i + 4] for i in range(0, 16, 4)), "CARD")]
 
     def secret() -> list[tuple[str, str]]:
-        form = rng.randrange(6)
+        form = rng.randrange(10)
+        key = rng.choice(["password", "passwd", "secret", "token", "api_key", "pwd", "auth_token", "access_key"])
         value = rng.choice([pick(hexa, rng.choice([18, 24, 32, 40])), pick(letters + caps, rng.randint(12, 40)) + number(2)])
         if form == 0:
             return [(rng.choice(["AKIA", "ASIA"]) + rng.choice([pick(caps, 15) + number(1), pick(caps[:26], 16)]), "SECRET")]
@@ -239,6 +287,12 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
             return [(f"{rng.choice(['password', 'passwd', 'secret', 'token', 'api_key', 'pwd'])}={value}", "SECRET")]
         if form in (3, 4):
             return [(rng.choice(["api_key", "secret_key", "token", "key"]), ""), (rng.choice(["=", "=", ":"]), "O"), (f'"{value}"', "SECRET")]
+        if form == 6:
+            return [(f"{key}{rng.choice('=:')}{pick(letters, rng.randint(6, 24))}", "SECRET")]
+        if form == 7:
+            return [(key, ""), (rng.choice("=:"), "O"), (rng.choice(["{}", '"{}"']).format(pick(letters, rng.randint(12, 28))), "SECRET")]
+        if form == 8:
+            return [(f'"{key}":"{rng.choice([value, pick(letters, rng.randint(6, 24))])}"', "SECRET")]
         return [(rng.choice(["sk-", "ghp_", "xoxb-"]) + pick(letters + caps, 30) + number(1), "SECRET")]
 
     def other() -> list[tuple[str, str]]:
@@ -246,12 +300,14 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
             lambda: f"{rng.randint(1900, 2030)}", lambda: f"{rng.randint(1900, 2030)}-{number(2)}-{number(2)}", lambda: f"{number(1)}.{number(1)}", lambda: f"v{number(1)}.{number(1)}.{number(1)}", lambda: f"{number(1)}.{number(2)}.{number(1)}",
             lambda: f"${number(2)}.{number(2)}", lambda: f"{number(2)}%", lambda: f"{number(rng.randint(1, 7))}", lambda: f"({number(1)})", lambda: f"{number(1)}.", lambda: f"{word()}={word()}", lambda: f"{number(2)}:{number(2)}", lambda: f"{word()}{number(rng.randint(1, 3))}", lambda: f"{number(1)},{number(3)},{number(3)}",
             lambda: f"@{word()}", lambda: "=", lambda: "==", lambda: f"{number(2)}-{number(2)}", lambda: f"#{number(4)}", lambda: f"{number(9)}", lambda: f"x=={number(1)}", lambda: f"{pick(caps[:26], 3)}{number(3)}", lambda: f"https://{word()}.com/{word()}?page={number(1)}", lambda: f"{word()}-{number(2)}", lambda: f"+{number(2)}%", lambda: pick(caps[:26], rng.randint(12, 20)) + rng.choice(["", "!!"]), lambda: pick(hexa, rng.choice([24, 32, 40])),
+            lambda: f"{rng.choice(['secret', 'key', 'token', 'password', 'keyword', 'author'])}: {pick(letters, rng.randint(1, 9))} {word()}", lambda: f'"{word()}":"{word()}{number(2)}"', lambda: f"{word()}:{number(3)}",
         ])(), "O")]
 
     kinds = [email, phone, card, secret, lambda: [(".".join(str(rng.randint(0, 255)) for _ in range(4)), "IP")]]
     texts, gold = [], []
     for _ in range(count):
         text, marks, again = "", [], []
+        comma = rng.choice([",", '","', ";", "|", "&"]) if rng.random() < 0.25 else ""  # a line without blanks
         for _ in range(rng.randint(4, 14)):
             repeat = bool(again) and rng.random() < 0.3
             made = rng.choice(again) if repeat else rng.choice(kinds)() if rng.random() < 0.5 else other()
@@ -259,16 +315,16 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
                 made = made[2:]  # named once, it may come back bare
             elif not repeat:
                 again.append(made)
-            for tok, label in made:
+            for p, (tok, label) in enumerate(made):
                 end = rng.choice(["", "", "", ".", ","]) if label in ("EMAIL", "IP", "CARD") else ""
                 if label:
-                    a, b = stripped(tok)
-                    if a == b:
-                        a, b = 0, len(tok)
+                    cut = max(tok.rfind("=", 0, -1), tok.rfind(":", 0, -1)) + 1 if label == "SECRET" else 0
+                    a, b = stripped(tok[cut:])
+                    a, b = (a + cut, b + cut) if a < b else (0, len(tok))
                     marks.append((len(text) + a, len(text) + b, label))
-                text += tok + end + rng.choice([" ", " ", "\n"])
+                text += tok + (comma if comma and p == len(made) - 1 else end + rng.choice([" ", " ", "\n"]))
             if rng.random() < 0.85:
-                text += " ".join(word() for _ in range(rng.randint(1, 6))) + rng.choice([" ", ". ", ", "])
+                text += (comma or " ").join(word() for _ in range(rng.randint(1, 6))) + (comma or rng.choice([" ", ". ", ", "]))
         texts.append(text)
         gold.append(marks)
     return texts, gold
@@ -312,13 +368,15 @@ def entities(texts: list[str | None], field: Field) -> list[tuple[int, int, int,
     follows = set(g.b[: g.chains].tolist())
     out: list[tuple[int, int, int, str]] = []
     joined = -1
-    for i, (t, a, b, k) in enumerate(zip(g.text.tolist(), g.begin.tolist(), g.end.tolist(), label)):
+    for i, (t, a, b, k, more) in enumerate(zip(g.text.tolist(), g.begin.tolist(), g.end.tolist(), label, g.run.tolist())):
+        if k and out and out[-1][0] == t and a < out[-1][2]:
+            continue  # inside a secret that went on
         name = LABELS[k].removesuffix("-I")
         if LABELS[k] == "PHONE-I" and i in follows and joined == i - 1:
             out[-1] = (t, out[-1][1], b, name)
             joined = i
         elif k:
-            out.append((t, a, b, name))
+            out.append((t, a, max(b, more) if name == "SECRET" else b, name))
             joined = i if name == "PHONE" else -1
     return out
 

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables and clashing columns, for every operator."""
 
+import json
+
 import pytest
 
 from refgraph.llm import codes, decontaminate, lines, packing, pii, quality, simhash, substrings, urls, winnow
@@ -95,6 +97,21 @@ def test_pii(docs, field):
     assert pii.entities([None, "", " ", "=", "1"], field) == []
 
 
+def test_pii_in_lines_without_blanks(field):
+    def got(text):
+        return [(text[a:b], label) for _, a, b, label in pii.entities([text], field)]
+
+    data = {"mail": "jane.roe@example.com", "host": "10.20.30.40", "other": "max@mail.example.org", "password": "correcthorsebattery", "card": "4111111111111111"}
+    line = json.dumps({f"field{i}": f"some_value_{i}" for i in range(182)} | data, separators=(",", ":"))
+    assert len(line) > 5000 and " " not in line
+    assert got(line) == list(zip(data.values(), ["EMAIL", "IP", "EMAIL", "SECRET", "CARD"]))
+    assert got("ann.lee@b.com,c.d@e.org;joe@y.net|10.0.0.1") == [("ann.lee@b.com", "EMAIL"), ("c.d@e.org", "EMAIL"), ("joe@y.net", "EMAIL"), ("10.0.0.1", "IP")]
+    assert got("password:correcthorse") == [("correcthorse", "SECRET")]
+    assert got("the token : correcthorsebatterystaple is set") == [("correcthorsebatterystaple", "SECRET")]
+    assert got("password=ab3x9qpl7:cdef99 next") == [("ab3x9qpl7:cdef99", "SECRET")]
+    assert got("The secret: always be kind to people.") == []
+
+
 def test_codes(docs):
     got = codes.coded(docs).collect()
     enc = codes.encoder(open(codes.VOCABULARY, "rb").read())
