@@ -5,10 +5,13 @@ without blanks has as many as its values; of ``password=x`` the entity is ``x``.
 The field's nodes are the tokens that hold a digit, ``@`` or ``CAPITALS`` capital letters (keys may have no digit), and those
 that a sign joins to a key word; entity labels are allowed on them alone, so every other token is O whatever its neighbours
 are and needs no node. Successive nodes with only blanks between share a chain potential. A secret goes on over signs inside
-it (``password=ab:cd``), but ends at commas, quotes, brackets, bars and ``&``. Skip edges join each token to the next equal or similar one of its document (equal after edge punctuation, case
-and separators are dropped, or with the same part after ``@``), at any distance; what they share favours equal
-labels. Loopy message passing (sum-product, damped) over both kinds of edges gives every node's label; it runs over all
-documents of a slice at once, since no edge leaves a document.
+it (``password=ab:cd``), but ends at commas, quotes, brackets, bars and ``&``. All equal or
+similar tokens of a document (equal after edge punctuation, case and separators are dropped, or with the same part after
+``@``) share one potential, whatever their number and distance: skip edges join each of them to one more node that stands for
+the group, so edges grow in proportion to tokens. What tokens are by themselves is then said once, by the group's node;
+so is what stands around them, and members add only the numbers beside them (parts of telephone numbers). Loopy message passing (sum-product, damped) over both kinds of edges gives every node's
+label; a document's messages are passed until none changes by more than ``TOLERANCE``. After ``FIRM`` rounds each round
+changes less than the one before, so that this ends also where messages would circle.
 
 The weights are trained here, on the driver, by gradient steps on the likelihood with expectations from the same message
 passing, over documents that ``examples`` composes: personal data in varied forms and look-alikes (dates, versions, prices,
@@ -35,7 +38,8 @@ from refgraph.llm import text as tx
 
 LABELS = ("O", "EMAIL", "IP", "CARD", "SECRET", "PHONE", "PHONE-I")
 BITS = 13
-PASSES = 8
+TOLERANCE = 1e-3
+FIRM = 60
 EXAMPLES = 1000
 STEPS = 160
 CAPITALS = 12
@@ -94,8 +98,16 @@ def _ascii(x: str) -> str:
     return "".join(c for c in x if c in "0123456789")
 
 
-def features(core: str, before: str, after: str, sign: bool, blank: bool) -> list[int]:
-    """Numbers of a node's features; ``before`` and ``after`` are the neighbouring tokens, ``sign`` and ``blank`` tell of a
+#: Added to numbers of features where they stand on a group's node, and on a member of one.
+_GROUP, _MEMBER = 1 << BITS, 2 << BITS
+
+
+def _number(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & (1 << BITS) - 1
+
+
+def features(core: str, before: str, after: str, sign: bool, blank: bool) -> tuple[list[int], list[int], list[int]]:
+    """Numbers of a node's features: those of the token itself, those of its surroundings, and again those of numbers there; ``before`` and ``after`` are the neighbouring tokens, ``sign`` and ``blank`` tell of a
     sign and of white space between the first and the node."""
     shape = re.sub(r"\d", "9", core)
     short = re.sub(r"[^\W\d_]+", "a", re.sub(r"9+", lambda m: "9" * min(len(m[0]), 5), shape))[:40]
@@ -114,24 +126,29 @@ def features(core: str, before: str, after: str, sign: bool, blank: bool) -> lis
         out.append("capital key")
     if re.match(r"(?i)(AKIA|ASIA|sk[-_]|gh[pousr]_|xox|eyJ|AIza)", core):
         out += ["key head", f"key head {min(len(core) // 4, 12)}"]
+    if re.fullmatch(r"\+\d{1,3}", core):
+        out.append("country")
+    around = []
     if _KEY.search(before):
-        out.append("after key" if sign else "after key word")
+        around.append("after key" if sign else "after key word")
         if sign:
-            out += [f"key {blank} {min(len(core) // 4, 12)}", f"key {blank} {core.isalpha()} {min(len(core) // 4, 12)}"]
+            around += [f"key {blank} {min(len(core) // 4, 12)}", f"key {blank} {core.isalpha()} {min(len(core) // 4, 12)}"]
     elif sign:
-        out.append("after sign")
-    if re.fullmatch(r"\+\d{1,3}", core):
-        out.append("country")
+        around.append("after sign")
+    beside = []
     for name, x in (("b", before), ("n", after)):
         y = re.sub(r"\d", "9", x[:24])
-        out.append(name + ("9" + re.sub(r"[^\W\d_]+", "a", y) if "9" in y else "none" if not x else "word"))
-    out += [f"{out[1]}|{out[-1]}", f"{out[1]}|{out[-2]}"]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (1 << BITS) - 1 for x in out]
+        around.append(name + ("9" + re.sub(r"[^\W\d_]+", "a", y) if "9" in y else "none" if not x else "word"))
+        if "9" in y:
+            beside.append(around[-1])
+    around += [f"{out[1]}|{around[-1]}", f"{out[1]}|{around[-2]}"]
+    return [_number(x) for x in out], [_number(x) for x in around], [_number(x) for x in beside]
 
 
 class Graph(NamedTuple):
     """Nodes in order of document and place, their features, and edges; chain edges come first in ``a`` and ``b``. ``run``: the
-    end of the tokens that signs join to the node, or 0."""
+    end of the tokens that signs join to the node, or 0. Nodes from number ``real`` on stand for groups of equal tokens; their
+    range is the first member's."""
 
     text: np.ndarray
     begin: np.ndarray
@@ -142,13 +159,14 @@ class Graph(NamedTuple):
     b: np.ndarray
     chains: int
     run: np.ndarray
+    real: int
 
 
 def similar(core: str) -> list[str]:
     """Names under which a token meets those that share a potential with it."""
     plain = re.sub(r"[\W_]", "", core.lower())
     out = ["=" + (plain or core)]
-    if "@" in core:
+    if "@" in core.strip("@"):
         out.append("@" + core.lower().rsplit("@", 1)[1])
     return out
 
@@ -187,7 +205,8 @@ def graph(texts: list[str | None]) -> Graph:
         strong[k] = _KEY.search(token(k - 1, int(owner[k]))) is not None
     at = np.flatnonzero(strong)
     text, b0, e0, run, rows, feats, chain, skip = [], [], [], [], [], [], [], []
-    last: dict[tuple[int, str], int] = {}
+    groups: dict[tuple[int, str], list[int]] = {}
+    each: list[tuple[list[int], list[int], list[int]]] = []
     previous = -2
     for k in at.tolist():
         t = int(owner[k])
@@ -205,17 +224,35 @@ def graph(texts: list[str | None]) -> Graph:
         b0.append(int(begin[k] - starts[t]) + x)
         e0.append(int(begin[k] - starts[t]) + y)
         f = features(core, token(k - 1, t), token(k + 1, t), bool(sign[k]), bool(blank[k]))
-        rows += [i] * len(f)
-        feats += f
+        each.append(f)
         if previous == k - 1 and only[k] and i and text[i - 1] == t:
             chain.append((i - 1, i))
         previous = k
         for name in similar(core):
-            if (t, name) in last:
-                skip.append((last[t, name], i))
-            last[t, name] = i
+            groups.setdefault((t, name), []).append(i)
+    real = len(text)
+    member = [False] * real
+    for (t, name), own in groups.items():
+        if len(own) < 2:
+            continue
+        g = len(text)
+        text.append(t)
+        b0.append(b0[own[0]])
+        e0.append(e0[own[0]])
+        run.append(0)
+        skip += [(i, g) for i in own]
+        same = set() if name[0] == "@" else {x for i in own for x in each[i][0]}
+        f = [x ^ _GROUP for x in sorted(same | {x for i in own for x in each[i][1]} | {_number(name[0])})]
+        rows += [g] * len(f)
+        feats += f
+        for i in own:
+            member[i] = member[i] or name[0] == "="
+    for i, (own, around, beside) in enumerate(each):
+        f = [x ^ _MEMBER for x in beside] if member[i] else own + around
+        rows += [i] * len(f)
+        feats += f
     pairs = np.array([*chain, *skip], np.int64).reshape(-1, 2)
-    return Graph(*(np.array(v, np.int64) for v in (text, b0, e0, rows, feats)), pairs[:, 0], pairs[:, 1], len(chain), np.array(run, np.int64))
+    return Graph(*(np.array(v, np.int64) for v in (text, b0, e0, rows, feats)), pairs[:, 0], pairs[:, 1], len(chain), np.array(run, np.int64), real)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -233,20 +270,42 @@ def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
 
 
-def beliefs(g: Graph, field: Field, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Log marginals of nodes, and of edges, after so many rounds of message passing."""
+def _along(x: np.ndarray, chains: int, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Messages over edges, the first ``chains`` of them with the potential chain[from, to], the rest with skip on equal labels."""
+    top = x[chains:].max(axis=1, keepdims=True)
+    e = np.exp(x[chains:] - top)
+    equal = np.log(e.sum(axis=1, keepdims=True) + np.expm1(skip) * e)
+    return _normal(np.concatenate([_logsum(x[:chains, :, None] + chain, 1), equal]))
+
+
+def beliefs(g: Graph, field: Field, passes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log marginals of nodes, marginals of chain edges, and of equal labels on skip edges, after so many rounds of message
+    passing, or when it has settled."""
     n, m, labels = len(g.text), len(g.a), len(LABELS)
     unary = _sums(g.rows, field.emit[g.feature], n) if n else np.zeros((0, labels))
-    pair = np.concatenate([np.broadcast_to(field.chain, (g.chains, labels, labels)), np.broadcast_to(np.diag(field.skip), (m - g.chains, labels, labels))]) if m else np.zeros((0, labels, labels))
     forth, back = np.zeros((m, labels)), np.zeros((m, labels))
-    for _ in range(passes if m else 0):
+    total, live = unary.copy(), np.arange(m)  # the edges of documents that haven't settled
+    step, done = 0.7, 0
+    while len(live) and done != passes:
+        a, b, chains = g.a[live], g.b[live], int(np.searchsorted(live, g.chains))
+        f = step * (_along(total[a] - back[live], chains, field.chain, field.skip) - forth[live])
+        r = step * (_along(total[b] - forth[live], chains, field.chain.T, field.skip) - back[live])
+        forth[live] += f
+        back[live] += r
         total = unary + _sums(g.b, forth, n) + _sums(g.a, back, n)
-        f = _normal(_logsum((total[g.a] - back)[:, :, None] + pair, 1))
-        r = _normal(_logsum((total[g.b] - forth)[:, None, :] + pair, 2))
-        forth, back = 0.3 * forth + 0.7 * f, 0.3 * back + 0.7 * r
-    total = unary + _sums(g.b, forth, n) + _sums(g.a, back, n) if m else unary
-    joint = (total[g.a] - back)[:, :, None] + (total[g.b] - forth)[:, None, :] + pair
-    return _normal(total), _normal(joint.reshape(m, labels * labels)).reshape(m, labels, labels)
+        done += 1
+        if passes is None:
+            still = np.zeros(int(g.text.max()) + 1, bool)
+            still[g.text[a[np.maximum(np.abs(f), np.abs(r)).max(axis=1) > TOLERANCE]]] = True
+            live = live[still[g.text[a]]]
+        if done >= FIRM:
+            step *= 0.9
+    x, y = total[g.a] - back, total[g.b] - forth
+    joint = x[: g.chains, :, None] + y[: g.chains, None, :] + field.chain
+    p, q = np.exp(_normal(x[g.chains :])), np.exp(_normal(y[g.chains :]))
+    same = np.exp(field.skip) * p * q
+    same /= 1 + (np.expm1(field.skip) * p * q).sum(axis=1, keepdims=True)
+    return _normal(total), np.exp(_normal(joint.reshape(g.chains, labels * labels))).reshape(g.chains, labels, labels), same
 
 
 def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[list[tuple[int, int, str]]]]:
@@ -299,7 +358,7 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
         return [(rng.choice([
             lambda: f"{rng.randint(1900, 2030)}", lambda: f"{rng.randint(1900, 2030)}-{number(2)}-{number(2)}", lambda: f"{number(1)}.{number(1)}", lambda: f"v{number(1)}.{number(1)}.{number(1)}", lambda: f"{number(1)}.{number(2)}.{number(1)}",
             lambda: f"${number(2)}.{number(2)}", lambda: f"{number(2)}%", lambda: f"{number(rng.randint(1, 7))}", lambda: f"({number(1)})", lambda: f"{number(1)}.", lambda: f"{word()}={word()}", lambda: f"{number(2)}:{number(2)}", lambda: f"{word()}{number(rng.randint(1, 3))}", lambda: f"{number(1)},{number(3)},{number(3)}",
-            lambda: f"@{word()}", lambda: "=", lambda: "==", lambda: f"{number(2)}-{number(2)}", lambda: f"#{number(4)}", lambda: f"{number(9)}", lambda: f"x=={number(1)}", lambda: f"{pick(caps[:26], 3)}{number(3)}", lambda: f"https://{word()}.com/{word()}?page={number(1)}", lambda: f"{word()}-{number(2)}", lambda: f"+{number(2)}%", lambda: pick(caps[:26], rng.randint(12, 20)) + rng.choice(["", "!!"]), lambda: pick(hexa, rng.choice([24, 32, 40])),
+            lambda: f"@{word()}", lambda: "=", lambda: "==", lambda: f"{number(2)}-{number(2)}", lambda: f"#{number(4)}", lambda: f"{number(9)}", lambda: f"x=={number(1)}", lambda: f"{pick(caps[:26], 3)}{number(3)}", lambda: f"https://{word()}.com/{word()}?page={number(1)}", lambda: f"{word()}-{number(2)}", lambda: f"+{number(2)}%", lambda: pick(caps[:26] * 4 + rng.choice(["", "ÓÉÜ"]), rng.randint(12, 24)) + rng.choice(["", "!!"]), lambda: pick(hexa, rng.choice([24, 32, 40])),
             lambda: f"{rng.choice(['secret', 'key', 'token', 'password', 'keyword', 'author'])}: {pick(letters, rng.randint(1, 9))} {word()}", lambda: f'"{word()}":"{word()}{number(2)}"', lambda: f"{word()}:{number(3)}",
         ])(), "O")]
 
@@ -308,11 +367,14 @@ def examples(count: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[lis
     for _ in range(count):
         text, marks, again = "", [], []
         comma = rng.choice([",", '","', ";", "|", "&"]) if rng.random() < 0.25 else ""  # a line without blanks
-        for _ in range(rng.randint(4, 14)):
-            repeat = bool(again) and rng.random() < 0.3
-            made = rng.choice(again) if repeat else rng.choice(kinds)() if rng.random() < 0.5 else other()
+        many = rng.random() < 0.07  # one thing named again and again
+        for _ in range(rng.randint(12, 40) if many else rng.randint(4, 14)):
+            repeat = bool(again) and rng.random() < (0.95 if many else 0.3)
+            made = rng.choice(again) if repeat else rng.choice(kinds)() if rng.random() < 0.5 else [(pick(hexa, rng.choice([18, 24, 32, 40])), "O")] if many and rng.random() < 0.4 else other()
             if repeat and len(made) == 3 and made[2][1] == "SECRET":
                 made = made[2:]  # named once, it may come back bare
+            elif repeat and made[0][1] == "SECRET" and rng.random() < 0.5:
+                made = [(re.split("[=:]", made[0][0])[-1].strip('"'), "SECRET")]
             elif not repeat:
                 again.append(made)
             for p, (tok, label) in enumerate(made):
@@ -337,26 +399,26 @@ def train(count: int = EXAMPLES, steps: int = STEPS) -> Field:
     g = g._replace(feature=np.searchsorted(used, g.feature))  # weights of features never seen stay 0
     known = {(t, a): LABELS.index(label) for t, marks in enumerate(gold) for a, _, label in marks}
     y = np.array([known.get((t, a), 0) for t, a in zip(g.text.tolist(), g.begin.tolist())])
+    for i, group in zip(g.a[g.chains :].tolist(), g.b[g.chains :].tolist()):
+        y[group] = y[group] or y[i]  # one that is an entity makes the group one
     n = len(LABELS)
     params = [np.zeros((len(used), n)), np.zeros((n, n)), np.zeros(n)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     chain, skip = slice(0, g.chains), slice(g.chains, None)
     for t in range(1, steps + 1):
-        nodes, edges = beliefs(g, Field(*params), 4)
+        nodes, pairs, same = beliefs(g, Field(*params), 5)
         error = np.exp(nodes)
         error[np.arange(len(y)), y] -= 1
         emit = _sums(g.feature, error[g.rows], len(used))
-        inner = np.exp(edges)
-        expected = inner[chain].sum(axis=0)
+        expected = pairs.sum(axis=0)
         np.add.at(expected, (y[g.a[chain]], y[g.b[chain]]), -1)
-        same = np.einsum("eii->i", inner[skip])
-        agree = y[g.a[skip]] == y[g.b[skip]]
-        same -= np.bincount(y[g.a[skip]][agree], minlength=n)
+        agree = same.sum() - (y[g.a[skip]] == y[g.b[skip]]).sum()
+        same = np.full(n, agree / n)  # one weight for all labels, so that mentions without evidence say nothing, however many
         for p, m, d in zip(params, moments, (emit, expected, same)):
             d = d / count + 1e-4 * p
             m[0], m[1] = 0.9 * m[0] + 0.1 * d, 0.99 * m[1] + 0.01 * d**2
             p -= 0.15 * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-9)
-    emit = np.zeros((1 << BITS, n))
+    emit = np.zeros((4 << BITS, n))
     emit[used] = params[0]
     return Field(emit, *params[1:])
 
@@ -368,7 +430,7 @@ def entities(texts: list[str | None], field: Field) -> list[tuple[int, int, int,
     follows = set(g.b[: g.chains].tolist())
     out: list[tuple[int, int, int, str]] = []
     joined = -1
-    for i, (t, a, b, k, more) in enumerate(zip(g.text.tolist(), g.begin.tolist(), g.end.tolist(), label, g.run.tolist())):
+    for i, (t, a, b, k, more) in enumerate(zip(g.text[: g.real].tolist(), g.begin.tolist(), g.end.tolist(), label, g.run.tolist())):
         if k and out and out[-1][0] == t and a < out[-1][2]:
             continue  # inside a secret that went on
         name = LABELS[k].removesuffix("-I")

@@ -112,6 +112,15 @@ def test_pii_in_lines_without_blanks(field):
     assert got("The secret: always be kind to people.") == []
 
 
+@pytest.mark.parametrize("named, bare, label", [('api_key = "9f31c0aa7b21d4e65b0c77aa"', "9f31c0aa7b21d4e65b0c77aa", "SECRET"), ("password:tr0ub4dorplus", "tr0ub4dorplus", "SECRET"), ("mail ann.lee@web.de", "ann.lee@web.de", "EMAIL"), ("hash 9f31c0aa7b21d4e65b0c77aa", "9f31c0aa7b21d4e65b0c77aa", None)])
+@pytest.mark.parametrize("place", [0, 25, 49])
+def test_pii_names_all_of_fifty_mentions(field, named, bare, label, place):
+    parts = [f"{'some other words ' * (1 + k % 3)}{named if k == place else bare} and more." for k in range(50)]
+    text = " ".join(parts)
+    got = [(text[a:b], x) for _, a, b, x in pii.entities([text], field)]
+    assert got == ([(bare, label)] * 50 if label else [])
+
+
 def test_codes(docs):
     got = codes.coded(docs).collect()
     enc = codes.encoder(open(codes.VOCABULARY, "rb").read())
