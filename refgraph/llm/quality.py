@@ -1,8 +1,8 @@
 """Operator 7: quality classifier, a factorisation machine for each of two targets (quality and toxic).
 
-Features of a document are binary: hashed words and hashed word beginnings (4 and 5 letters), one bin for each structure
-statistic, language and source. Of the hashed features a target uses those that go with its label beyond chance
-(chi-square over the training rows), ``MAX_BUCKETS`` at most. A target's score is w0 + sum w[i] + the sum over pairs of <v[i], v[j]>, computed in
+Features of a document are binary: hashed words and hashed beginnings (4 and 5 letters) of longer words, one bin for each structure
+statistic, language and source. Of the hashed features a target uses all that go with its label beyond
+chance (chi-square over the training rows). A target's score is w0 + sum w[i] + the sum over pairs of <v[i], v[j]>, computed in
 linear time as 1/2 sum_f ((sum v[i,f])**2 - sum v[i,f]**2). A document is kept if it is likely good and not likely toxic.
 
 Training happens on the driver on at most ``TRAIN_ROWS`` labelled documents, the first by a hash of their id; the bound is a
@@ -34,8 +34,6 @@ FACTORS = 4
 CUTS = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 BINS = 2 * len(CUTS) + 1
 CHI_SQUARE = 18.0
-#: Hashed features of a target, those that tell most.
-MAX_BUCKETS = 300
 ROUNDS = 200
 BEGINNINGS = (4, 5)
 #: Buckets of hashed features: 2 ** BUCKET_BITS.
@@ -80,9 +78,11 @@ def described(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     owner = np.repeat(np.arange(n), words)
     if len(begin):
         whole = tx.span_hashes(cps, begin, end)
-        hashes = [whole] + [tx.span_hashes(cps, begin, np.minimum(begin + b, end)) ^ np.uint64(b) for b in BEGINNINGS]
+        longer = [np.flatnonzero(end - begin > b) for b in BEGINNINGS]  # a beginning that is the word would say it twice
+        hashes = [whole] + [tx.span_hashes(cps, begin[k], begin[k] + b) ^ np.uint64(b) if len(k) else whole[:0] for b, k in zip(BEGINNINGS, longer)]
+        owners = np.concatenate([owner, *(owner[k] for k in longer)])
     else:
-        whole, hashes = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * (1 + len(BEGINNINGS))
+        whole, hashes, owners = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)], owner
     buckets = np.concatenate([(tx.mixed(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) for h in hashes])
     raw, starts = tx.codepoints(plain)
     chars = np.maximum(np.diff(starts) - 1, 1)
@@ -105,7 +105,7 @@ def described(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     most = np.zeros(n, np.int64)
     np.maximum.at(most, whose, run)
     stats["most repeated"] = most / per_word
-    return buckets, np.tile(owner, len(hashes)), np.stack([stats[k] for k in STATISTICS], axis=1) if n else np.zeros((0, len(STATISTICS)))
+    return buckets, owners, np.stack([stats[k] for k in STATISTICS], axis=1) if n else np.zeros((0, len(STATISTICS)))
 
 
 def unique(owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +148,15 @@ def fit(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, size: int, rounds
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     starts = np.searchsorted(owner, np.arange(n + 1))
     for t in range(1, rounds + 1):
-        z, s = scored(params[0][0], params[1], params[2], feature, starts)
+        z, s = params[0][0] + _sums(params[1][feature], starts), []
+        for v in params[2].T:  # one factor at a time: the features aren't few
+            x = v[feature]
+            s.append(_sums(x, starts))
+            z = z + 0.5 * (s[-1] ** 2 - _sums(x * x, starts))
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         e = err[owner].astype(np.float32)
         gw = np.bincount(feature, e, minlength=size)
-        inner = e[:, None] * (s[owner] - params[2][feature])
-        gv = np.stack([np.bincount(feature, inner[:, f], minlength=size) for f in range(FACTORS)], axis=1)
+        gv = np.stack([np.bincount(feature, e * (s[f][owner] - params[2][feature, f]), minlength=size) for f in range(FACTORS)], axis=1)
         for p, m, g, decay in zip(params, moments, (np.array([err.sum()]), gw, gv), (0, 1e-6, 1e-5)):
             g = g + decay * p
             m[0] = 0.9 * m[0] + 0.1 * g
@@ -171,8 +174,7 @@ def chosen(whose: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
     expected = df * pos / n
     spread = expected * (1 - pos / n) * (1 - df / n)
     chi = (both - expected) ** 2 / np.maximum(spread, 1e-9)
-    best = np.lexsort((distinct, -chi))[:MAX_BUCKETS]
-    return np.sort(distinct[best[(df[best] >= 3) & (chi[best] > CHI_SQUARE)]])
+    return distinct[(df >= 3) & (chi > CHI_SQUARE)]
 
 
 def _dense(edges: np.ndarray, meta: dict, stats: np.ndarray, lang: list, source: list) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 
 from refgraph.llm import codes, decontaminate, lines, packing, pii, quality, simhash, substrings, urls, winnow
@@ -91,6 +92,16 @@ def test_quality(docs, labels):
     assert quality.scores(docs, one).where("not keep").count() == 0
 
 
+def test_quality_uses_all_telling_words():
+    y = np.arange(200) % 2
+    whose, bucket = np.divmod(np.arange(200 * 500), 500)
+    there = (y[whose] == 1) | (bucket >= 400)  # 400 buckets go with the label, 100 are everywhere
+    assert quality.chosen(whose[there], bucket[there], y.astype(float)).tolist() == list(range(400))
+    buckets, owner, _ = quality.described(["en abcd", "abcde", "abcdef", "abcdefg"])
+    assert np.bincount(owner).tolist() == [2, 2, 3, 3]  # a beginning counts where the word is longer
+    assert len(set(buckets.tolist())) == 7
+
+
 def test_pii(docs, field):
     got = [(r.doc_id, r.begin, r.end, r.label) for r in pii.found(docs.where("doc_id is null or doc_id <> 4"), field).collect()]
     assert got == [(7, 11, 28, "EMAIL")]
