@@ -7,6 +7,7 @@ task instead, since a round costs more than such a graph; results are the same.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ def _small(*frames: DataFrame) -> bool:
     return all(f.limit(SMALL + 1).count() <= SMALL for f in frames)
 
 
-def _searched(most: int):
+def _searched(most: int | None):
     """Breadth-first search of one task: rows (src, dst) are edges, rows without dst are starts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,7 +43,7 @@ def _searched(most: int):
         depth, via = np.full(len(names), -1), np.full(len(names), -1)
         level = np.unique(code.loc[rows["src"][begin]].to_numpy()) if begin.any() else np.zeros(0, np.int64)
         depth[level] = 0
-        for d in range(1, most + 1):
+        for d in itertools.count(1) if most is None else range(1, most + 1):
             n = first[level + 1] - first[level]
             at = np.repeat(first[level] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             at = at[depth[dst[at]] < 0]
@@ -79,9 +80,9 @@ def _walked(rounds: int, damping: float, tolerance: float):
     return run
 
 
-def depths(start: DataFrame, edges: DataFrame, most: int = ROUNDS) -> DataFrame:
-    """(id, depth, via) of everything reached from start(id) over edges(src, dst); via is the least predecessor on a
-    shortest path, null at depth 0. Level-synchronous: only the newest level meets the edges."""
+def depths(start: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, depth, via) of everything reached from start(id) over edges(src, dst), in ``most`` steps if that is given;
+    via is the least predecessor on a shortest path, null at depth 0. Level-synchronous: only the newest level meets the edges."""
     checkpointing(start.sparkSession)
     edges = edges.select("src", "dst").distinct().checkpoint()
     kind = edges.schema["src"].dataType
@@ -92,7 +93,7 @@ def depths(start: DataFrame, edges: DataFrame, most: int = ROUNDS) -> DataFrame:
         return rows.coalesce(1).mapInPandas(_searched(most), f"id {name}, depth int, via {name}")
     level = start.select(F.col("id").cast(kind).alias("id")).distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("via")).checkpoint()
     seen, levels = level, [level]
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1) if most is None else range(1, most + 1):
         new = level.join(edges, level["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
         new = new.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via").checkpoint()
         if new.isEmpty():
@@ -358,13 +359,15 @@ def services(entry: DataFrame, files: DataFrame, edges: DataFrame, roots: DataFr
     in_file = roots.select("id").distinct().join(files, "id").select(F.col("id").alias("root"), "file").checkpoint()
     level = entry.join(files, "file").select("service", "id").distinct().checkpoint()
     seen = level
-    for _ in range(ROUNDS):
+    for done in itertools.count(1):
         by_call = level.join(edges, level["id"] == edges["src"]).select("service", F.col("dst").alias("id"))
         by_file = level.join(files, "id").select("service", "file").distinct().join(in_file, "file").select("service", F.col("root").alias("id"))
         level = by_call.unionByName(by_file).distinct().join(seen, ["service", "id"], "left_anti").checkpoint()
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+        if done % 16 == 0:  # as in depths
+            seen = seen.checkpoint()
     return seen.join(files, "id").select("service", "file").distinct()
 
 

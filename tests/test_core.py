@@ -58,6 +58,30 @@ def test_witness_is_the_least(way, spark):
     assert {r.id: r.depth for r in reached.collect()} == {"R": 0, "A": 1, "B": 1, "S": 2, "X": 3}
 
 
+@pytest.fixture
+def few(spark):
+    """One partition a shuffle, as hundreds of small rounds are made."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_long_chains_are_reached_to_their_end(way, few, spark):
+    n = 210 if graph.SMALL < 0 else 500  # both are deeper than any number of rounds in graph
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    got = graph.depths(spark.createDataFrame([(0,)], "id long"), chain).agg(F.count("id"), F.max("depth")).first()
+    assert tuple(got) == (n + 1, n)
+
+
+def test_services_reach_the_end_of_a_chain(few, spark):
+    n = 205
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long").cache()
+    files = spark.createDataFrame([(i, f"f{i}") for i in range(n + 1)], "id long, file string").cache()
+    got = graph.services(spark.createDataFrame([("s", "f0")], "service string, file string"), files, chain, files.select("id").limit(0))
+    assert got.count() == n + 1
+
+
 def test_walk_returns_dangling_mass(way, spark):
     w = edges(spark, "ab ac ba")
     got = {r.id: r.mass for r in graph.walk_mass(ids(spark, "abc"), ids(spark, "a"), w).collect()}
