@@ -1,4 +1,4 @@
-"""Closures, walks, paths and communities (F1-F37) as loops over DataFrames.
+"""Closures, walks, paths and communities (of F1-F37, see README for what is absent) as loops over DataFrames.
 
 Each round is checkpointed to the shared folder, so plans stay short and a lost executor costs a round at most. The driver
 sees counts, never rows. A graph of at most ``SMALL`` edges and starts, which is counted first, is searched or walked by one
