@@ -371,6 +371,33 @@ def services(entry: DataFrame, files: DataFrame, edges: DataFrame, roots: DataFr
     return seen.join(files, "id").select("service", "file").distinct()
 
 
+def told(start: DataFrame, calls: DataFrame, top: int = 8, depth: int = 4, inside: DataFrame | None = None) -> DataFrame:
+    """(path, depth, ordinal, id, repeats, pruned): the tree of what each start(id) calls, ``depth`` levels deep.
+
+    calls(src, dst, w, place). Of a node's successors the ``top`` heaviest are told in order of place, and the rest is counted
+    in ``pruned``; with inside(id), those on the route are told, all of them. One that stands on its own path repeats and isn't
+    expanded. ``path`` ends with the node itself.
+    """
+    checkpointing(start.sparkSession)
+    each = calls.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"), F.min("place").alias("place"))
+    by, out = Window.partitionBy("src"), F.count(F.lit(1)).over(Window.partitionBy("src"))
+    each = each.withColumn("n", out)
+    if inside is None:
+        each = each.withColumn("k", F.row_number().over(by.orderBy(F.desc("w"), "dst"))).where(F.col("k") <= top).withColumn("pruned", F.col("n") - F.count(F.lit(1)).over(by))
+    else:
+        each = each.join(inside.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").withColumn("pruned", F.lit(0).cast("long"))
+    each = each.select("src", "dst", F.row_number().over(by.orderBy("place", "dst")).alias("ordinal"), "pruned").checkpoint()
+    cut = each.groupBy("src").agg(F.first("pruned").alias("pruned"))
+    level = start.select("id").distinct().select(F.array("id").alias("path"), F.lit(0).alias("depth"), F.lit(1).alias("ordinal"), "id", F.lit(False).alias("repeats")).checkpoint()
+    tree = level
+    for d in range(1, depth + 1):
+        level = level.where("not repeats").select("path", "id").join(each, F.col("id") == F.col("src"))
+        level = level.select(F.concat("path", F.array("dst")).alias("path"), F.lit(d).alias("depth"), "ordinal", F.col("dst").alias("id"), F.expr("array_contains(path, dst)").alias("repeats")).checkpoint()
+        tree = tree.unionByName(level)
+    expanded = (F.col("depth") < depth) & ~F.col("repeats")
+    return tree.join(cut, tree["id"] == cut["src"], "left").select("path", "depth", "ordinal", "id", "repeats", F.when(expanded, F.coalesce("pruned", F.lit(0))).otherwise(0).cast("long").alias("pruned"))
+
+
 def condensed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, head, steps): the chain each node belongs to, named by its first node, and the chain's length.
 

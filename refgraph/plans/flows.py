@@ -383,12 +383,22 @@ def chain_condense(t: Tables):
 @query(f"""with {b.RETURNED}, {b.PARTS}, k as (select src, dst, row_number() over (partition by src order by w desc, dst) as k, count(*) over (partition by src) as n from edges)
 select src, list(dst order by dst) as told, any_value(n) - count(*) as pruned from k where k <= 3 group by src""")
 def sequence_narrative(t: Tables):
-    """Of each part's successors the three heaviest are told, in order; the rest is counted."""
+    """Of each part's successors the three heaviest are told, in order; the rest is counted. One level only, as in its SQL; the
+    whole tree is sequence_tree."""
     w = Window.partitionBy("src")
     k = b.returned(t).withColumn("k", F.row_number().over(w.orderBy(F.desc("w"), "dst"))).withColumn("n", F.count(F.lit(1)).over(w)).where("k <= 3")
     return k.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("told"), (F.first("n") - F.count(F.lit(1))).alias("pruned"))
 
 
+@query()
+def sequence_tree(t: Tables):
+    """The whole narrative, 8 successors of each part and 4 levels, from the root of the heaviest edges. Parts have no
+    lines, so successors are told in order of their ids."""
+    e = b.returned(t)
+    start = e.join(b.roots(t).select(F.col("id").alias("src")).distinct(), "src", "left_semi").groupBy("src").agg(F.sum("w").alias("w")).orderBy(F.desc("w"), "src").limit(1).select(F.col("src").alias("id"))
+    return graph.told(start, e.select("src", "dst", "w", F.col("dst").alias("place")))
+
+
 @query("""with n as (select conv_id, turn, role || '/' || (length(text) // 400) as shape from conversations), x as (select *, case when shape = lag(shape) over w then 0 else 1 end as fresh from n window w as (partition by conv_id order by turn)),
 g as (select *, sum(fresh) over (partition by conv_id order by turn) as run from x), r as (select conv_id, run, min(turn) as turn, any_value(shape) as shape, count(*) as times from g group by conv_id, run)
 select conv_id, turn, shape, times, row_number() over (partition by conv_id, shape order by turn) > 1 as told from r""")

@@ -82,6 +82,17 @@ def test_services_reach_the_end_of_a_chain(few, spark):
     assert got.count() == n + 1
 
 
+def test_narrative_tells_eight_a_level_and_four_levels(few, spark):
+    rows = [("r", f"c{i:02}", float(i), 20 - i) for i in range(10)] + [("c09", "x", 1.0, 1), ("x", "y", 1.0, 1), ("x", "r", 1.0, 2), ("y", "z", 1.0, 1), ("z", "beyond", 1.0, 1)]
+    calls = spark.createDataFrame(rows, "src string, dst string, w double, place int")
+    got = {tuple(r.path): r for r in graph.told(ids(spark, "r"), calls).collect()}
+    first = sorted((r for p, r in got.items() if len(p) == 2), key=lambda r: r.ordinal)
+    assert [r.id for r in first] == [f"c{i:02}" for i in range(9, 1, -1)] and got[("r",)].pruned == 2
+    assert ("r", "c09", "x", "y", "z") in got and got[("r", "c09", "x", "r")].repeats and len(got) == 1 + 8 + 1 + 2 + 1
+    inside = graph.told(ids(spark, "r"), calls, inside=spark.createDataFrame([("c00",), ("c09",)], "id string")).collect()
+    assert sorted(r.id for r in inside) == ["c00", "c09", "r"]
+
+
 def test_walk_returns_dangling_mass(way, spark):
     w = edges(spark, "ab ac ba")
     got = {r.id: r.mass for r in graph.walk_mass(ids(spark, "abc"), ids(spark, "a"), w).collect()}
