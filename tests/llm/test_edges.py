@@ -92,11 +92,10 @@ def test_quality(docs, labels):
     assert quality.scores(docs, one).where("not keep").count() == 0
 
 
-def test_quality_uses_all_telling_words():
-    y = np.arange(200) % 2
-    whose, bucket = np.divmod(np.arange(200 * 500), 500)
-    there = (y[whose] == 1) | (bucket >= 400)  # 400 buckets go with the label, 100 are everywhere
-    assert quality.chosen(whose[there], bucket[there], y.astype(float)).tolist() == list(range(400))
+def test_quality_uses_all_telling_words(spark):
+    rows = [(b, 100 if b < 400 else 200, 100) for b in range(500)] + [(500, 2, 2)]  # 400 buckets go with the label, 100 are everywhere, one is rare
+    counts = spark.createDataFrame(rows, "bucket int, df long, quality long").repartition(3)
+    assert quality.chosen(counts, 200, {"quality": 100})["quality"].tolist() == list(range(400))
     buckets, owner, _ = quality.described(["en abcd", "abcde", "abcdef", "abcdefg"])
     assert np.bincount(owner).tolist() == [2, 2, 3, 3]  # a beginning counts where the word is longer
     assert len(set(buckets.tolist())) == 7
