@@ -2,7 +2,8 @@
 
 The text is cut at line feeds. Every three consecutive lines form a window, known by a 96-bit hash. A window that occurs
 more than once anywhere keeps its first occurrence; the lines that a later one covers are removed, covered positions of
-overlapping windows being merged. Occurrences are ordered by document id (null last), hash of the text and position, so
+overlapping windows being merged. Where a later occurrence overlaps the first one itself (the same line four times in a row), the
+lines of the first stay. Occurrences are ordered by document id (null last), hash of the text and position, so
 windows that repeat inside one document count too. Occurrences are decided on the original texts, all at once.
 
 The first occurrences come from a partially aggregated minimum and meet the windows in an equi-join that adaptive execution
@@ -11,7 +12,8 @@ for that; then each text moves once, to its removals.
 
 Defined cases: a null text stays null and a text of under three lines is left alone; blank lines count as lines, but a
 window of three blank ones is no window. Rows with equal id and text are one document and get the same result. A document
-can lose all its lines; its text is then empty. Other columns pass through, whatever their names. An empty table stays empty.
+can lose all its lines; its text is then empty. Of documents with equal id and different texts the lesser hash comes first. A text
+of any length is cut whole, into as many windows as it has. Other columns pass through, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -42,20 +44,24 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, gone): for each document key the positions of its windows that occurred before."""
+    """(id, th, gone): for each document key its windows that occurred before, as ``WINDOW`` times the position plus the number of
+    lines that belong to the first occurrence (those of a window that overlaps itself)."""
     ready(docs.sparkSession)
     every = windows(docs, id_col, text_col).checkpoint()
     place = F.struct(F.col("id.id").isNull().alias("none"), "id", "th", "p")
     first = every.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
     again = every.join(first, ["a", "b"]).where(place != F.col("first"))
-    return again.groupBy("id", "th").agg(F.collect_set("p").alias("gone"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    spared = F.when(same, F.greatest(F.col("first.p") + WINDOW - F.col("p"), F.lit(0))).otherwise(0)
+    return again.groupBy("id", "th").agg(F.collect_set(F.col("p").cast("long") * WINDOW + spared).alias("gone"))
 
 
 def _cut(text: str, gone: np.ndarray) -> tuple[str, int]:
     lines = text.split("\n")
     keep = np.ones(len(lines), bool)
+    at, spared = np.divmod(gone, WINDOW)
     for i in range(WINDOW):
-        keep[gone + i] = False
+        keep[at[spared <= i] + i] = False
     return "\n".join(x for x, k in zip(lines, keep.tolist()) if k), int((~keep).sum())
 
 
@@ -92,8 +98,9 @@ w as (
   select doc_id, text, p, l[p + 1] as a, l[p + 2] as b, l[p + 3] as c
   from (select doc_id, text, l, unnest(range(len(l) - 2)) as p from lines where len(l) >= 3)
   where trim(l[p + 1], ' ') <> '' or trim(l[p + 2], ' ') <> '' or trim(l[p + 3], ' ') <> ''),
-ranked as (select doc_id, text, p, rank() over (partition by a, b, c order by doc_id nulls last, p) as k from w),
-gone as (select distinct doc_id, text, p + d as i from ranked, range(3) t(d) where k > 1),
+ranked as (select doc_id, text, p, rank() over same as k, first_value(doc_id) over same as d1, first_value(text) over same as t1, first_value(p) over same as p1
+  from w window same as (partition by a, b, c order by doc_id nulls last, p)),
+gone as (select distinct doc_id, text, p + d as i from ranked, range(3) t(d) where k > 1 and not (d1 = doc_id and t1 = text and p + d < p1 + 3)),
 cut as (
   select x.doc_id, x.r, x.i, x.line, g.i is not null as away
   from (select doc_id, text, r, unnest(range(len(l))) as i, unnest(l) as line from lines) x
