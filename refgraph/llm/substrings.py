@@ -8,12 +8,14 @@ anchor, at the same place wherever the stretch occurs. Documents meet on equal a
 ways as far as a stretch that holds it can reach. Partners aren't compared one by one, which would be quadratic in the copies
 of a passage: anchors with equal extension (a hash) repeat each other wholly, however many there are; where the extensions
 around one anchor differ, one of each kind yields the hashes of its stretches, and those that are found twice are repeated.
-That finds exactly what comparing all pairs would. What is found is merged into maximal ranges. No partner cap is needed.
+That finds exactly what comparing all pairs would. What is found is merged into maximal ranges: a range goes on as long as the
+stretch that begins one word later is repeated too, so ranges may overlap or touch where the stretches between are not. No
+partner cap is needed.
 
 Anchors, one word in some twenty, are what is shuffled first; texts move only to join the open anchors of their document.
 
 Defined cases: a null or empty text, or one of fewer than ``LENGTH`` words, has no repeats. Passages repeated inside one
-document count. Wholly repeated rows (id and text) repeat each other and are reported once. A null id is a value like others.
+document count. Wholly repeated rows (id and text) repeat each other and are reported once. A very long text is read whole. Ties don't arise. A null id is a value like others.
 Other columns are never read, whatever their names. An empty table gives an empty result.
 """
 
@@ -72,29 +74,32 @@ def _stretches(length: int, k: int):
     return run
 
 
-def _merge(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in source:
-        lists = batch.column(1)
-        owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-        left, right = (np.asarray(lists.flatten().field(i)).astype(np.int64) for i in (0, 1))
-        if not len(left):
-            continue
-        order = np.lexsort((left, owner))
-        owner, left, right = owner[order], left[order], right[order]
-        reach = np.maximum.accumulate(right + owner * (1 << 40))  # never reaches into the next document
-        fresh = np.r_[True, (owner[1:] << 40) + left[1:] > reach[:-1]]
-        begin = np.flatnonzero(fresh)
-        end = reach[np.r_[begin[1:] - 1, len(reach) - 1]] - owner[begin] * (1 << 40)
-        rows = batch.column(0).take(pa.array(owner[begin]))
-        yield pa.RecordBatch.from_arrays([rows, pa.array(left[begin].astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "start", "end"])
+def _merge(length: int):
+    def run(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            lists = batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            left, right = (np.asarray(lists.flatten().field(i)).astype(np.int64) for i in (0, 1))
+            if not len(left):
+                continue
+            order = np.lexsort((left, owner))
+            owner, left, right = owner[order], left[order], right[order]
+            reach = np.maximum.accumulate(right + owner * (1 << 40))  # never reaches into the next document
+            fresh = np.r_[True, (owner[1:] << 40) + left[1:] > reach[:-1] - length + 1]  # beyond the start after the last repeated one
+            begin = np.flatnonzero(fresh)
+            end = reach[np.r_[begin[1:] - 1, len(reach) - 1]] - owner[begin] * (1 << 40)
+            rows = batch.column(0).take(pa.array(owner[begin]))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(left[begin].astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "start", "end"])
+
+    return run
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
     """(doc_id, start, end): maximal repeated ranges of words, from 0, end exclusive."""
     ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    key = f"id struct<id: {kind}>, th int"
-    source = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    key = f"id struct<id: {kind}>, th long"
+    source = docs.select(F.struct(F.col(id_col).alias("id")).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     # Most anchors occur once: counts of the hashes alone decide that, and only the others move with all they carry.
     seeds = rewritten(source.mapInArrow(_anchors(length, k), f"{key}, g long, around long, place int, room int"))
     again = seeds.groupBy("g").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("g")
@@ -108,14 +113,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     twice = stretches.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     part = stretches.join(twice, "h", "left_semi").select("id", "th", "left", (F.col("left") + length).alias("right"))
     ranges = whole.unionByName(part).groupBy("id", "th").agg(F.collect_set(F.struct("left", "right")).alias("ranges"))
-    return ranges.select("id.id", "ranges").mapInArrow(_merge, f"doc_id {kind}, start int, end int")
+    return ranges.select("id.id", "ranges").mapInArrow(_merge(length), f"doc_id {kind}, start int, end int")
 
 
 SQL = f"""
 with d as (select doc_id, text, row_number() over () as r, {tx.sql_words("text")} as w from documents where text is not null),
 s as (select doc_id, text, p, hash(w[p + 1 : p + {LENGTH}]) as h from (select doc_id, text, w, unnest(range(len(w) - {LENGTH - 1})) as p from d where len(w) >= {LENGTH})),
 t as (select distinct doc_id, text, p from (select *, count(*) over (partition by h) as n from s) where n > 1),
-e as (select *, case when p <= lag(p) over (partition by doc_id, text order by p) + {LENGTH} then 0 else 1 end as fresh from t),
+e as (select *, case when p = lag(p) over (partition by doc_id, text order by p) + 1 then 0 else 1 end as fresh from t),
 i as (select *, sum(fresh) over (partition by doc_id, text order by p) as island from e)
 select doc_id, min(p)::INT as start, (max(p) + {LENGTH})::INT as "end" from i group by doc_id, text, island
 """
