@@ -58,4 +58,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_winnowing, op3_substring_dedup, op4_line_dedup, op5_packing, op6_url_filter, op7_quality, op8_pii, op9_token_codes, op10_decontaminate)}
 
-SQL: dict[str, str] = {"op2_winnowing": winnow.SQL, "op3_substring_dedup": substrings.SQL, "op4_line_dedup": lines.SQL, "op10_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op2_winnowing": winnow.SQL, "op3_substring_dedup": substrings.SQL, "op4_line_dedup": lines.SQL, "op5_packing": packing.SQL, "op10_decontaminate": decontaminate.SQL}
