@@ -2,31 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 60
-
+from refgraph.session import checkpointing as ready
 
-def ready(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names; only where none is named (tests, one machine) to a folder here."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="refgraph-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+ROUNDS = 60
 
 
 def rewritten(result: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the checkpoint folder and read again, with the lineage cut."""
+    """The same rows, written as Parquet to the checkpoint folder and read again, with the lineage cut; the files go when the
+    application ends."""
     spark = result.sparkSession
     ready(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
     result.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
 
 

@@ -58,19 +58,42 @@ def test_substrings(docs):
     assert got == [(5, 0, 61), (6, 1, 61)]
 
 
+def test_passages_that_touch_stay_apart(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(1, f"{one} {two}"), (2, f"q {one} q"), (3, f"r {two}"), (4, f"{three} s"), (5, f"{three} {one}")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.end) for r in substrings.repeats(docs).collect())
+    assert got == [(1, 0, 60), (1, 60, 120), (2, 1, 61), (3, 1, 61), (4, 0, 60), (5, 0, 60), (5, 60, 120)]
+
+
 def test_lines(docs):
     got = {r.row.doc_id: (r.text, r.removed) for r in lines.deduplicated(docs).collect()}
     assert got[1] == (None, 0) and got[2] == ("", 0) and got[7] == ("x\ny\nz\nmail a.b@c.example.com", 3) and got[4] == (LONG, 0)
     assert len(lines.deduplicated(docs).collect()) == len(ROWS)
 
 
+def test_lines_that_overlap_their_first_occurrence(spark):
+    texts = ["x\nx\nx\nx\ntail", "a\nb\na\nb\na\nb", "x\nx\nx\nx\nx\nx\nx", "p\nq\nr\ns\np\nq\nr", "q\nr\ns\nnew"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in lines.deduplicated(docs).collect()}
+    assert got == {0: "x\nx\nx\ntail", 1: "a\nb\na", 2: "", 3: "p\nq\nr\ns", 4: "new"}
+
+
 def test_packing(docs):
     got = packing.packed(docs, budget=100).collect()
     assert len(got) == len(ROWS)
-    assert {(r.tokens, r.bucket) for r in got if r.doc_id == 4} == {(60_000, -1)}
+    alone = next(r for r in got if r.doc_id == 4)
+    assert (alone.tokens, alone.boundary, alone.place) == (60_000, 60_000, 0) and [r.doc_id for r in got if r.batch == alone.batch] == [4]
     assert sorted(r.place for r in got if r.doc_id == 5) in ([0, 0], [0, 1])
 
 
+def test_packing_of_one_hot_row(spark):
+    """A third of all rows are one row; they are counted before they are numbered."""
+    docs = spark.range(300).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, 'a b c', repeat('w ', int(id))) as text")
+    got = packing.packed(docs, budget=64, chunk_rows=50).toPandas()
+    assert len(got) == 300 and not got.duplicated(["batch", "place"]).any() and got.doc_id.isna().sum() == 100
+    assert (got.groupby("batch").size() * got.groupby("batch").boundary.first() <= 64).sum() > 3
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "", ""), (2, "http://cheapcasino.example.com/win", "<p>cheap casino win</p>"), (2, "http://cheapcasino.example.com/win", "<p>cheap casino win</p>"), (3, "not a url", "x"), (4, "http://" + "a" * 300 + ".org/" + "b/" * 500, LONG), (5, "HTTP://User@NEWS.example.com:80/a?b#c", "news")], "page_id long, url string, html string")
     got = urls.filtered(pages).collect()
