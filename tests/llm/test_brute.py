@@ -145,20 +145,71 @@ def test_viterbi(label, counts):
     assert "".join(got) == label and score(got) == pytest.approx(max(map(score, ways)))
 
 
-def test_url_scores(spark):
+def _urls_by_hand(rows, seeds=urls.SEEDS):
+    """The whole query in plain Python: counts, exhaustive dynamic programme over all substrings, naive Bayes."""
+    import regex
+
+    word = regex.compile(r"\p{L}+")
+    count = {}
+    for _, url, html in rows:
+        visible = regex.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", html or "")
+        visible = regex.sub(r"<[^>]*>|&[a-zA-Z#0-9]+;", " ", visible)
+        path = regex.match(r"^[a-z][a-z0-9+.-]*://[^/?#]*([^#]*)", (url or "").lower())
+        for w in word.findall(visible.lower()) + word.findall(path[1] if path else ""):
+            count[w] = count.get(w, 0) + 1
+    total = sum(count.values()) or 1
+
+    def split(label):
+        best = [(0.0, [])]
+        for end in range(1, len(label) + 1):
+            ways = [(best[i][0] + (np.log(count[w] / total) if w in count else np.log(10 / total) - len(w) * np.log(10)), i) for i in range(end) for w in [label[i:end]]]
+            top = max(p for p, _ in ways)
+            i = max(i for p, i in ways if p > top - 1e-9)
+            best.append((top, best[i][1] + [label[i:end]]))
+        return best[-1][1]
+
+    parsed = []
+    for i, url, _ in rows:
+        host = regex.match(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", (url or "").lower())
+        path = regex.match(r"^[a-z][a-z0-9+.-]*://[^/?#]*([^#]*)", (url or "").lower())
+        words = [w for x in word.findall(host[1] if host else "") for w in split(x)]
+        tokens = ["h:" + w for w in words if w not in seeds] + ["p:" + w for w in word.findall(path[1] if path else "") if w not in seeds]
+        parsed.append((i, words, bool(set(words) & set(seeds)), tokens))
+    tally = {c: {} for c in (True, False)}
+    for _, _, listed, tokens in parsed:
+        for x in tokens:
+            tally[listed][x] = tally[listed].get(x, 0) + 1
+    size = len(set(tally[True]) | set(tally[False]))
+    sums = {c: sum(t.values()) for c, t in tally.items()}
+    positive = sum(listed for _, _, listed, _ in parsed)
+    out = []
+    for i, words, listed, tokens in parsed:
+        odds = np.log((positive + 1) / (len(rows) - positive + 1))
+        odds += sum(np.log((tally[True].get(x, 0) + 1) / (sums[True] + size + 1)) - np.log((tally[False].get(x, 0) + 1) / (sums[False] + size + 1)) for x in tokens)
+        out.append((i, words, listed, odds))
+    return out
+
+
+def _same_urls(got, want):
+    assert len(got) == len(want)
+    key = lambda i: -1 if i is None else i
+    for r, (i, words, listed, odds) in zip(sorted(got, key=lambda r: (key(r.page_id), r.host_words, r.log_odds)), sorted(want, key=lambda x: (key(x[0]), x[1], x[3]))):
+        assert (r.page_id, r.host_words, r.listed) == (i, words, listed) and r.log_odds == pytest.approx(odds, abs=2e-6) and r.bad == (listed or r.log_odds > 0)
+
+
+def test_urls_against_plain_python(spark):
+    long = "abcdefghijklmnopqrstuvwxyzabcd"  # thirty letters
     rows = [(1, "http://cheapcasino.example.com/win/now", ""), (2, "http://freebets.example.com/win", ""), (3, "http://dailynews.example.com/world", ""), (4, "http://dailynews.example.org/now", ""), (5, "http://cheapwin.example.org/win", "")]
-    rows += [(10, "http://x.example.com/", "cheap cheap cheap casino casino free free bets bets daily daily news news win win")]
-    got = {r.page_id: r for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    tokens = {i: ["h:" + w for w in r.host_words] + ["p:" + w for w in u.split("/", 3)[3].split("/") if w] for i, u, _ in rows for r in [got[i]]}
-    seeded = {i: bool(set(got[i].host_words) & set(urls.SEEDS)) for i in tokens}
-    every = sorted({x for v in tokens.values() for x in v})
-    count = {c: {x: sum(v.count(x) for i, v in tokens.items() if seeded[i] == c) for x in every} for c in (True, False)}
-    for i, v in tokens.items():
-        odds = np.log((sum(seeded.values()) + 1) / (len(rows) - sum(seeded.values()) + 1))
-        for x in v:
-            odds += np.log((count[True][x] + 1) / (sum(count[True].values()) + len(every) + 1)) - np.log((count[False][x] + 1) / (sum(count[False].values()) + len(every) + 1))
-        assert got[i].log_odds == pytest.approx(odds, abs=2e-6)
-    assert got[1].bad and got[2].bad and not got[3].bad and got[5].log_odds > got[3].log_odds
+    rows += [(10, "http://x.example.com/", "cheap cheap cheap casino casino free free bets bets daily daily news news win win"), (11, f"http://my{long}news{'q' * 40}.example.com/", long), (12, f"http://{long[:26]}.org", None), (None, None, long)]
+    got = urls.filtered(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = {r.page_id: r for r in got}
+    assert by[11].host_words[1] == long and by[1].bad and by[2].bad and not by[3].bad and by[5].log_odds > by[3].log_odds
+    _same_urls(got, _urls_by_hand(rows))
+
+
+def test_url_query_against_plain_python(spark):
+    pages = queries.table(spark, SMALL, "pages")
+    _same_urls(queries.op6_url_filter(spark, SMALL).collect(), _urls_by_hand([(r.page_id, r.url, r.html) for r in pages.collect()]))
 
 
 def test_factorisation_machine_identity():

@@ -102,6 +102,8 @@ def test_urls(spark):
     assert next(r.host_words for r in got if r.page_id == 5) == ["news", "example", "com"]
     assert all(r.host_words == [] for r in got if r.page_id in (1, None, 3))
     assert urls.filtered(pages.limit(0)).count() == 0
+    clash = pages.selectExpr("*", "'c' as row", "'c' as label", "'c' as labels", "'c' as paths", "'c' as token", "'c' as host_words", "'c' as word", "1 as n")
+    assert sorted(map(str, urls.filtered(clash).collect())) == sorted(map(str, got))
     assert urls.filtered(pages.where("page_id = 1")).first().log_odds is not None
 
 
