@@ -93,6 +93,12 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(cps, begin, end), first
 
 
+def hashed_as_they_are(tokens: list[str]) -> np.ndarray:
+    """The same hash of whole tokens, not lowered."""
+    cps, starts = codepoints(tokens)
+    return span_hashes(cps, starts[:-1], starts[1:] - 1)
+
+
 def multipliers(k: int) -> list[int]:
     return [pow(BASE, k - 1 - j, TWO64) for j in range(k)]
 

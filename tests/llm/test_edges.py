@@ -127,7 +127,7 @@ def test_quality_uses_all_telling_words(spark):
 
 
 def test_pii(docs, field):
-    got = [(r.doc_id, r.begin, r.end, r.label) for r in pii.found(docs.where("doc_id is null or doc_id <> 4"), field).collect()]
+    got = [(r.doc_id, r.begin, r.end, r.label) for r in pii.found(docs, field).collect()]
     assert got == [(7, 11, 28, "EMAIL")]
     assert pii.entities([None, "", " ", "=", "1"], field) == []
 
