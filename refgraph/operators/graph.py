@@ -121,11 +121,21 @@ def fixpoint(start: DataFrame, edges: DataFrame, nested: DataFrame) -> DataFrame
     return closure(start, edges.select("src", "dst").unionByName(inside))
 
 
-def levels(symbols: DataFrame, roots: DataFrame, edges: DataFrame, nested: DataFrame) -> DataFrame:
-    """(id, level) with overlapping levels (T1). roots(id, product); edges(src, dst, strong)."""
+def levels(symbols: DataFrame, roots: DataFrame, edges: DataFrame, nested: DataFrame, imported: DataFrame | None = None) -> DataFrame:
+    """(id, level) with overlapping levels (T1). roots(id, product); edges(src, dst, strong).
+
+    imported(file, dst, strong) is what modules refer to when they are imported: it is reached from the start; of the product
+    only if its file holds a product root, and surely only over a strong reference. symbols(id, file).
+    """
     every, product = roots.select("id"), roots.where("product").select("id")
+    known = every
+    if imported is not None:
+        own = symbols.join(product, "id", "left_semi").select("file").distinct()
+        known = every.unionByName(imported.where("strong").select(F.col("dst").alias("id")))
+        every = every.unionByName(imported.select(F.col("dst").alias("id")))
+        product = product.unionByName(imported.join(own, "file", "left_semi").select(F.col("dst").alias("id")))
     reach, prod = fixpoint(every, edges, nested).checkpoint(), fixpoint(product, edges, nested).checkpoint()
-    sure, plain = closure(every, edges.where("strong")).checkpoint(), closure(every, edges)
+    sure, plain = closure(known, edges.where("strong")).checkpoint(), closure(every, edges)
     parts = {
         "PRODUCT": prod.join(sure, "id", "left_semi"),
         "PRODUCT_WEAK": prod.join(sure, "id", "left_anti"),
@@ -306,48 +316,19 @@ def mcl(weights: DataFrame, nodes: DataFrame, inflation: float = 2.0, rounds: in
 def path(reached: DataFrame, target: int | str) -> list:
     """the shortest path to ``target`` that ``depths`` knows, from its start; empty if it wasn't reached.
 
-    One lookup a step: a path has as many steps as levels were made, and only it comes to the driver.
+    By pointer jumping: each round joins what is known of the path with pointers twice as long, so a path of n steps takes
+    log n rounds, and only it comes to the driver.
     """
-    out, at = [], target
-    while at is not None:
-        row = reached.where(F.col("id") == at).select("via").first()
-        if row is None:
-            return []
-        out.append(at)
-        at = row[0]
-    return out[::-1]
-
-
-def removed_for(kind: str, guarantee: DataFrame, edges: DataFrame) -> DataFrame | None:
-    """(id) of the nodes that a contract's check takes away."""
-    if kind == "cannot_reach":
-        return None
-    ids = guarantee.select("id")
-    if kind == "requires":
-        ids = ids.unionByName(edges.join(ids, edges["dst"] == ids["id"]).select(F.col("src").alias("id")))
-    return ids.distinct()
-
-
-def violated(source: DataFrame, sink: DataFrame, edges: DataFrame, kind: str, guarantee: DataFrame) -> DataFrame:
-    """(id, depth) of sinks that the source still reaches; none if the contract holds on these edges."""
-    gone = removed_for(kind, guarantee, edges)
-    if gone is not None:
-        gone = gone.checkpoint()
-        source, sink = source.join(gone, "id", "left_anti"), sink.join(gone, "id", "left_anti")
-        edges = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    return depths(source, edges).join(sink.select("id"), "id", "left_semi").select("id", "depth")
-
-
-def verdict(source: DataFrame, sink: DataFrame, edges: DataFrame, kind: str, guarantee: DataFrame) -> str:
-    """EMPTY, BROKEN (on strong edges), SUSPECT (on all) or PASS, in this order."""
-    checkpointing(source.sparkSession)
-    if sink.isEmpty() or kind != "cannot_reach" and guarantee.isEmpty():
-        return "EMPTY"
-    if kind == "crosses" and sink.join(guarantee, "id", "left_anti").isEmpty():
-        return "EMPTY"
-    if not violated(source, sink, edges.where("strong"), kind, guarantee).isEmpty():
-        return "BROKEN"
-    return "PASS" if violated(source, sink, edges, kind, guarantee).isEmpty() else "SUSPECT"
+    checkpointing(reached.sparkSession)
+    row = reached.where(F.col("id") == target).select("depth").first()
+    if row is None:
+        return []
+    on, up = reached.where(F.col("id") == target).select("id"), reached.where("via is not null").select("id", "via")
+    for _ in range(row[0].bit_length()):
+        up = up.checkpoint()
+        on = on.unionByName(on.join(up, "id").select(F.col("via").alias("id"))).checkpoint()
+        up = up.join(up.select(F.col("id").alias("via"), F.col("via").alias("next")), "via").select("id", F.col("next").alias("via"))
+    return [r[0] for r in reached.join(on, "id", "left_semi").orderBy("depth").select("id").collect()]
 
 
 def services(entry: DataFrame, files: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

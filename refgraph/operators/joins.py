@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Short literals that are compared with all texts at once.
+BLOCK = 10_000
+
 
 def resolve(sites: DataFrame, symbols: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Every site meets all symbols of its name, its strength divided among them.
 
     sites(site, owner, name, strength, lexical); symbols(id, name); aliases(alias, real) serve sites without a symbol.
-    Gives (site, owner, id, candidates, share, lexical). Sites of unknown names are dropped: they are external.
+    Gives (site, owner, id, candidates, share, lexical, name), and module if sites have it. Sites of unknown names are dropped:
+    they are external.
     """
+    more = [c for c in ("module",) if c in sites.columns]
     named = symbols.select("name", F.col("id")).withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("name")))
     if aliases is not None:
         known = symbols.select("name").distinct().withColumn("known", F.lit(True))
         sites = sites.join(known, "name", "left").join(aliases, sites["name"] == aliases["alias"], "left")
         sites = sites.withColumn("name", F.when(F.col("known"), F.col("name")).otherwise(F.col("real"))).drop("known", "alias", "real")
-    return sites.join(named, "name").select("site", "owner", "id", "candidates", (F.col("strength") / F.col("candidates")).alias("share"), "lexical")
+    return sites.join(named, "name").select("site", "owner", "id", "candidates", (F.col("strength") / F.col("candidates")).alias("share"), "lexical", "name", *more)
 
 
 def unsuppressed(sites: DataFrame, bound: DataFrame) -> DataFrame:
@@ -31,9 +36,17 @@ def weights(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("owner", "id").agg(F.sum("share").alias("weight"))
 
 
-def strong(resolved: DataFrame) -> DataFrame:
-    """(owner, id, strong), strong if some site of the pair has one candidate and is lexical."""
-    return resolved.groupBy("owner", "id").agg(F.bool_or((F.col("candidates") == 1) & F.col("lexical")).alias("strong"))
+#: Methods of built-in types: ``x.replace(...)`` says little about the one function of that name.
+BUILTIN_METHODS = tuple(sorted({m for t in (str, bytes, list, dict, set, frozenset, tuple, int, float) for m in dir(t) if not m.startswith("_")}))
+
+
+def strong(resolved: DataFrame, method: Column | None = None) -> DataFrame:
+    """(owner, id, strong), strong if some site of the pair has one candidate and isn't an attribute named like a
+    method of a built-in type; what a module itself refers to (column module) is never demoted. ``method`` tells such names.
+    """
+    named = F.col("name").isin(*BUILTIN_METHODS) if method is None else method
+    module = F.col("module") if "module" in resolved.columns else F.lit(False)
+    return resolved.groupBy("owner", "id").agg(F.bool_or((F.col("candidates") == 1) & (F.col("lexical") | ~named | module)).alias("strong"))
 
 
 def owners(points: DataFrame, spans: DataFrame, width: int, *order: Column) -> DataFrame:
@@ -115,8 +128,8 @@ def mentions(texts: DataFrame, key: str, text: str, literals: DataFrame, words:
     """(key, literal_id) where a text contains a literal.
 
     Texts and literals meet on a literal's first ``words`` white-space tokens that lie wholly inside it, and containment is
-    then verified. Literals of fewer inner tokens have no such anchor: they are compared with all texts by broadcasting
-    them, if there are not more than 10,000 (else by a plain join).
+    then verified. Literals of fewer inner tokens have no such anchor: they are a stated set of questions, compared with all
+    texts in blocks of about ``BLOCK``, each of them broadcast.
     """
     n = words
     tokens = F.split(F.trim(F.col("literal")), r"\s+")
@@ -127,6 +140,9 @@ def mentions(texts: DataFrame, key: str, text: str, literals: DataFrame, words:
     pairs = grams.join(marked.where("anchor is not null"), "anchor").select(key, "literal_id").distinct()
     checked = pairs.join(texts.select(key, text), key).join(literals, "literal_id").where(F.col(text).contains(F.col("literal")))
     short = marked.where("anchor is null").select("literal_id", "literal")
-    few = short.limit(10_001).count() <= 10_000
-    rest = texts.join(F.broadcast(short) if few else short, F.col(text).contains(F.col("literal")))
-    return checked.select(key, "literal_id").unionByName(rest.select(key, "literal_id"))
+    out = checked.select(key, "literal_id")
+    parts = -(-short.count() // BLOCK)
+    for i in range(parts):  # a broadcast never holds more than about one block
+        block = short.where(F.pmod(F.xxhash64("literal_id"), F.lit(parts)) == i)
+        out = out.unionByName(texts.join(F.broadcast(block), F.col(text).contains(F.col("literal"))).select(key, "literal_id"))
+    return out

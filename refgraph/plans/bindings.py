@@ -55,6 +55,14 @@ def roots(t: Tables) -> DataFrame:
 ROOTS = "roots as (select p_partkey as id, p_size <= 25 as product from part where p_type = 'PROMO')"
 
 
+def imported(t: Tables) -> DataFrame:
+    """(file, dst, strong): what a brand's module refers to on import, its smallest parts; strong if their price is 1,000 at least."""
+    return t["part"].where("p_size = 1").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("dst"), (F.col("p_retailprice") >= 1000).alias("strong"))
+
+
+IMPORTED = "imported as (select p_brand as file, p_partkey as dst, p_retailprice >= 1000 as strong from part where p_size = 1)"
+
+
 def journeys(t: Tables) -> DataFrame:
     """EVT, (src, dst, w): event types that follow each other for a user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

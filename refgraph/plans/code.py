@@ -90,6 +90,16 @@ def code_refs(t: Tables):
     return code.project_graph(code.facts(_sources(t)))["refs"].select("owner", F.col("id").alias("target"), "strong", "weight")
 
 
+_RULES = [("demo", "a.py", "def replace(x):\n    return x\n\ndef own(x):\n    return x\n"), ("demo", "b.py", "text = ' '.replace(1)\ndef one(s):\n    return s.replace(2)\ndef two(s):\n    return replace(s)\ndef three(s):\n    return s.own(3)\n")]
+
+
+@query(_golden("owner, target, strong", ("b.py", "a.py:1:replace", True), ("b.py:2:one", "a.py:1:replace", False), ("b.py:4:two", "a.py:1:replace", True), ("b.py:6:three", "a.py:4:own", True)))
+def code_strong_rule(t: Tables):
+    """Golden; an attribute named like a method of a built-in type is weak, but not where a module itself refers to it."""
+    sources = t.spark.createDataFrame(_RULES, "project string, file string, text string")
+    return code.project_graph(code.facts(sources))["refs"].select("owner", F.col("id").alias("target"), "strong")
+
+
 @query(_golden("file, line, cond, branch", ("main.py", 9, "8", "then"), ("main.py", 11, "8", "else")))
 def code_branches(t: Tables):
     """Golden; loops are no alternatives."""

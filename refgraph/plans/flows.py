@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refgraph.operators import graph, joins
+from refgraph.operators import graph, joins, routes
 from refgraph.plans import bindings as b
 from refgraph.plans.registry import Tables, query
 from refgraph.session import checkpointing
@@ -39,7 +39,10 @@ def _nested(t: Tables) -> DataFrame:
 _NESTED = "nested as (select i.id as inner_id, o.id as outer_id from parts i join parts o on i.file = o.file and i.line > o.line and i.\"end\" <= o.\"end\")"
 _LEVELS = f"""{b.RETURNED}, {b.PARTS}, {b.ROOTS}, {_NESTED}, proot as (select id from roots where product), s as (select src, dst from edges where strong),
 both as (select src, dst from edges union all select outer_id, inner_id from nested)""".replace("both as", "joint as")
-_LEVELS += f", {_reach('reach', 'roots', 'joint')}, {_reach('prod', 'proot', 'joint')}, {_reach('sure', 'roots', 's')}, {_reach('plain', 'roots', 'edges')}"
+_RISKS = f"{_LEVELS}, {_reach('reach', 'roots', 'joint')}"
+_LEVELS += f""", {b.IMPORTED}, every as (select id from roots union all select dst from imported), known as (select id from roots union all select dst from imported where strong),
+pseed as (select id from proot union all select dst from imported where file in (select file from parts where id in (from proot))),
+{_reach('reach', 'every', 'joint')}, {_reach('prod', 'pseed', 'joint')}, {_reach('sure', 'known', 's')}, {_reach('plain', 'every', 'edges')}"""
 
 
 @query(f"""with recursive {_LEVELS}
@@ -47,9 +50,9 @@ select id, 'PRODUCT' as level from prod where id in (from sure) union all select
 union all select id, 'NOT_PRODUCT' from reach where id not in (from prod) union all select id, 'BY_NESTING' from reach where id not in (from plain)
 union all select id, 'DEAD' from parts where id not in (from reach)""")
 def liveness_levels(t: Tables):
-    """F1-F4, S2."""
+    """With what modules refer to on import."""
     checkpointing(t.spark)
-    return graph.levels(b.parts(t), b.roots(t), b.returned(t).checkpoint(), _nested(t).checkpoint())
+    return graph.levels(b.parts(t), b.roots(t), b.returned(t).checkpoint(), _nested(t).checkpoint(), b.imported(t))
 
 
 _WALK = b.chained(
@@ -88,7 +91,7 @@ def mass_by_module(t: Tables):
     return _rolled(t, "module")
 
 
-@query(f"""with recursive {_LEVELS}, {b.TRANSITIONS}, base as materialized (select parts.id, case when proot.id is null then 0 else 1 / (select count(*) from proot) end as restart, parts.id not in (select src from p) as dangling from parts left join proot using (id)),
+@query(f"""with recursive {_RISKS}, {b.TRANSITIONS}, base as materialized (select parts.id, case when proot.id is null then 0 else 1 / (select count(*) from proot) end as restart, parts.id not in (select src from p) as dangling from parts left join proot using (id)),
 {_WALK}, m as (select id, m from r20), alive as (select parts.*, m, parts.id in (from reach) as live from parts join m using (id)),
 f as (select file, sum(case when live then m else 0 end) as around, avg(case when live then 0 else 1 end) as dead from alive group by file),
 o as (select src as id, sum(m) as out from edges join m on m.id = dst where src <> dst group by src),
@@ -176,7 +179,7 @@ def shortest_path_avoiding(t: Tables):
     return graph.depths(start, _trade(t).where("strong").join(barred, "dst", "left_anti"))
 
 
-_SPECS = [("all_parts_guard", "crosses", "part", "true"), ("promo_guard", "crosses", "part", "p_type = 'PROMO'"), ("promo_required", "requires", "part", "p_type = 'PROMO'"), ("never", "cannot_reach", "part", "false"), ("no_guard", "crosses", "part", "false")]
+_SPECS = [("all_parts_guard", "crosses", "part", "true"), ("promo_guard", "crosses", "part", "p_type = 'PROMO'"), ("promo_required", "requires", "part", "p_type = 'PROMO'"), ("never", "cannot_reach", "part", "false"), ("no_guard", "crosses", "part", "false"), ("malformed", "crossing", "part", "true")]
 
 
 def _contract_sql(name: str, kind: str, where: str) -> str:
@@ -186,7 +189,7 @@ def _contract_sql(name: str, kind: str, where: str) -> str:
     bad = f"select count(*) from edges a join edges b on b.src = a.dst where a.src in (from src) and b.dst in (from sink) and a.src not in ({gone}) and a.dst not in ({gone}) and b.dst not in ({gone})"
     # The strong grade takes callers of the guarantee over strong edges alone.
     strong = bad.replace("from edges", "from sedges").replace("join edges", "join sedges")
-    empty = "false" if kind == "cannot_reach" else f"(select count(*) from ({guard})) = 0"
+    empty = "false" if kind == "cannot_reach" else f"(select count(*) from ({guard})) = 0" if kind in routes.KINDS else "true"
     return f"select '{name}' as name, case when {empty} then 'EMPTY' when ({strong}) > 0 then 'BROKEN' when ({bad}) > 0 then 'SUSPECT' else 'PASS' end as verdict"
 
 
@@ -194,21 +197,28 @@ _CONTRACTS = f"""with {_TRADE}, sedges as (select * from edges where strong), sr
 {" union all ".join(_contract_sql(n, k, w) for n, k, _, w in _SPECS)}"""
 
 
+def _verdicts(t: Tables, source: DataFrame, sink: DataFrame, edges: DataFrame) -> list[tuple[str, str]]:
+    guard = lambda where: t["part"].where(where).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    return routes.verify([(name, kind, source, sink, guard(where)) for name, kind, _, where in _SPECS], edges)
+
+
 @query(_CONTRACTS)
 def contracts_verify(t: Tables):
-    """Declared contracts between customers of a segment and suppliers of five nations.
+    """Declared contracts between customers of a segment and suppliers of five nations; a malformed one is EMPTY.
 
-    The specifications are a handful; each is a distributed search, and only its verdict comes to the driver.
+    All of them, at both grades, are one distributed search, and only the verdicts come to the driver.
     """
     checkpointing(t.spark)
     edges = _trade(t).checkpoint()
     source = t["customer"].where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
     sink = t["supplier"].where("s_nationkey < 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
-    out = []
-    for name, kind, _, where in _SPECS:
-        guarantee = t["part"].where(where).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
-        out.append((name, graph.verdict(source, sink, edges, kind, guarantee)))
-    return t.spark.createDataFrame(out, "name string, verdict string")
+    return t.spark.createDataFrame(_verdicts(t, source, sink, edges), "name string, verdict string")
+
+
+@query(f"select verdict, count(*) as contracts from ({_CONTRACTS}) group by verdict")
+def contract_counts(t: Tables):
+    """How many contracts have each verdict."""
+    return contracts_verify(t).groupBy("verdict").agg(F.count(F.lit(1)).alias("contracts"))
 
 
 _ROUTE = f"""{b.RETURNED}, {b.PARTS}, s as (select src, dst from edges where strong), flipped as (select dst as src, src as dst from s),
@@ -232,19 +242,52 @@ def route_dag(t: Tables):
     return inside.join(a.withColumn("source", F.lit(True)), "id", "left").join(z.withColumn("sink", F.lit(True)), "id", "left").select("id", F.coalesce("source", F.lit(False)).alias("source"), F.coalesce("sink", F.lit(False)).alias("sink"))
 
 
-@query(f"""with recursive {_TRADE}, s as (select src, dst from edges where strong), mid as (select a.dst as id, count(distinct a.src) as sources, count(distinct z.dst) as sinks from s a join s z on z.src = a.dst group by 1),
-one as (select dst as id from s where dst[1] = 'p' group by dst having count(*) = 1)
-select mid.id, sources, sinks from mid join one using (id)""")
-def propose_chokepoints(t: Tables):
-    """parts that a single customer alone reaches strongly, with the suppliers behind: cutting the part cuts all of them.
+_SINGLE = f"""{b.RETURNED}, {b.PARTS}, {b.ROOTS}, s as (select src, dst from edges where strong), flipped as (select dst as src, src as dst from s), z as (select id from parts where module = 'LARGE'),
+one as (select src, min(dst) as next from s group by src having count(distinct dst) = 1),
+a as (select min(src) as id from one where src in (select id from roots) and next not in (from z) and next in (select src from s where dst <> next)),
+{_reach('fwd', 'a', 's')}, {_reach('bwd', 'z', 'flipped')}, inner_ids as (select id from fwd where id in (from bwd)), middle as (select id from inner_ids where id not in (from a) and id not in (from z))"""
 
-    In three layers a part is a customer's chokepoint to a supplier if nothing else leads there from that customer; parts
-    with one customer are the candidates that a removal test has to try.
-    """
-    s = _trade(t).where("strong")
-    into = s.where(F.col("dst").startswith("p")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("sources")).where("sources = 1")
-    out = s.where(F.col("src").startswith("p")).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("sinks"))
-    return into.join(out, "id")
+
+def _single(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The least root of one way only, the large parts, and the strong edges."""
+    _, z, s = _ends(t)
+    s = s.select("src", "dst").checkpoint()
+    one = s.groupBy("src").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("next")).where("n = 1")
+    on = s.where("src <> dst").select(F.col("src").alias("next")).distinct()
+    one = one.join(b.roots(t).select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(z.withColumnRenamed("id", "next"), "next", "left_anti").join(on, "next", "left_semi")
+    return one.agg(F.min("src").alias("id")).where("id is not null"), z, s
+
+
+@query(f"""with recursive {_SINGLE}, {_bfs('d', 'a', 's')}, via as (select e.dst as id, min(e.src) as via from s e join d x on x.id = e.src join d y on y.id = e.dst where y.depth = x.depth + 1 group by e.dst),
+target as (select id from d where id in (from z) order by depth, id limit 1), walk(id) as (select id from target union all select via from walk join via using (id)),
+r(cand, id) as (select m.id, a.id from middle m, a union select r.cand, s.dst from r join s on s.src = r.id where s.dst <> r.cand),
+choke as (select id from middle where id not in (select cand from r where r.id in (from z)))
+select i.id, i.id in (from a) as source, i.id in (from z) as sink, i.id in (from choke) as chokepoint, case when i.id in (from walk) then (select depth from d where d.id = i.id) end::INT as step from inner_ids i""")
+def route_chokepoints(t: Tables):
+    """What lies between a root and the large parts, which of it can't be left out, and its place on the shortest path."""
+    checkpointing(t.spark)
+    a, z, s = _single(t)
+    schema = f"id {s.schema['src'].dataType.simpleString()}"
+    path, choke = routes.shortest(a, z, s), routes.chokepoints(a, z, s)
+    flags = [(a.withColumn("source", F.lit(True)), "source"), (z.withColumn("sink", F.lit(True)), "sink"), (t.spark.createDataFrame([(x, True) for x in choke], f"{schema}, chokepoint boolean"), "chokepoint")]
+    out = routes.inside(a, z, s)
+    for frame, name in flags:
+        out = out.join(frame, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.join(t.spark.createDataFrame([(x, i) for i, x in enumerate(path)], f"{schema}, step int"), "id", "left")
+
+
+@query(f"""with recursive {_SINGLE}, {_MASS[_MASS.index("p as ("):]}, ranked as (select m.id, coalesce(round(m2.m, 7), 0) as mass from middle m left join mass m2 using (id) order by 2 desc, 1 limit 120),
+gone as (select 'crosses' as kind, id as cand, id from ranked union all select 'requires', id, id from ranked union all select 'requires', r.id, s.src from ranked r join s on s.dst = r.id),
+r(kind, cand, id) as (select k.kind, c.id, a.id from ranked c, a, (values ('crosses'), ('requires')) k(kind) where (k.kind, c.id, a.id) not in (select kind, cand, id from gone)
+  union select r.kind, r.cand, s.dst from r join s on s.src = r.id where not exists (select 1 from gone g where g.kind = r.kind and g.cand = r.cand and g.id = s.dst)),
+cut as (select k.kind, c.id, c.mass from ranked c, (values ('crosses'), ('requires')) k(kind) where (k.kind, c.id) not in (select kind, cand from r where id in (from z)))
+select min(kind) as kind, id, any_value(mass) as mass from cut group by id order by mass desc, id limit 10""")
+def propose_chokepoints(t: Tables):
+    """What a contract between a root and the large parts could guarantee, by walk mass."""
+    checkpointing(t.spark)
+    a, z, s = _single(t)
+    mass = _mass(t).select("id", F.round("mass", 7).alias("mass"))
+    return t.spark.createDataFrame(routes.propose(a, z, s, mass), f"kind string, id {s.schema['src'].dataType.simpleString()}, mass double")
 
 
 _BACK = f"{_ROUTE}, {_bfs('d', 'z', 'flipped')}, nxt as (select e.src as id, min(e.dst) as nxt from s e join d x on x.id = e.src join d y on y.id = e.dst where x.depth = y.depth + 1 group by e.src)"

@@ -66,11 +66,11 @@ def suffix_longest_match(t: Tables):
 
 def _sites(t: Tables):
     lines = t["lineitem"].join(b.parts(t).select(F.col("id").alias("l_partkey"), "name", "file"), "l_partkey")
-    return lines.select(F.col("l_orderkey").alias("site"), F.col("l_suppkey").alias("owner"), "name", "file", F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.25).alias("strength"), (F.col("l_linestatus") == "O").alias("lexical"))
+    return lines.select(F.col("l_orderkey").alias("site"), F.col("l_suppkey").alias("owner"), "name", "file", F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.25).alias("strength"), (F.col("l_linestatus") == "O").alias("lexical"), (F.col("l_suppkey") % 10 == 0).alias("module"))
 
 
 _SITES = f"""{b.PARTS},
-sites as (select l_suppkey as owner, name, file, case when l_returnflag = 'N' then 1.0 else 0.25 end as strength, l_linestatus = 'O' as lexical from lineitem join parts on id = l_partkey),
+sites as (select l_suppkey as owner, name, file, case when l_returnflag = 'N' then 1.0 else 0.25 end as strength, l_linestatus = 'O' as lexical, l_suppkey % 10 = 0 as module from lineitem join parts on id = l_partkey),
 cand as (select id, name, count(*) over (partition by name) as candidates from parts)"""
 
 
@@ -80,10 +80,10 @@ def name_resolution_quota(t: Tables):
     return joins.resolve(_sites(t), b.parts(t)).groupBy("owner", "id").agg(F.round(F.sum("share"), 6).alias("weight"), F.count(F.lit(1)).alias("sites"))
 
 
-@query(f"with {_SITES} select owner, id, bool_or(candidates = 1 and lexical) as strong from sites join cand using (name) group by owner, id")
+@query(f"with {_SITES} select owner, id, bool_or(candidates = 1 and (lexical or module or not (name like 'blue %' or name like 'old %'))) as strong from sites join cand using (name) group by owner, id")
 def strong_edges(t: Tables):
-    """E1b."""
-    return joins.strong(joins.resolve(_sites(t), b.parts(t)))
+    """Blue and old parts have the names of built-in types' methods, every tenth supplier is a module."""
+    return joins.strong(joins.resolve(_sites(t), b.parts(t)), F.col("name").rlike("^(blue|old) "))
 
 
 _ALIASES = [("FIRST", "REGION_0"), ("SECOND", "REGION_1"), ("NATION_7", "REGION_2")]

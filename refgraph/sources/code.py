@@ -221,8 +221,8 @@ def project_graph(all_facts: DataFrame) -> dict[str, DataFrame]:
     sites = sites.join(known, "name", "left").join(alias, (F.col("file") == F.col("afile")) & (F.col("name") == F.col("alias")), "left")
     sites = sites.withColumn("name", F.when(F.col("known"), F.col("name")).otherwise(F.col("real"))).drop("known", "real", "alias", "afile")
     named = symbols.select("name", "id").withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("name")))
-    r = sites.join(named, "name").withColumn("share", F.col("strength") / F.col("candidates"))
-    refs = r.groupBy("owner", "id").agg(F.bool_or(F.col("candidates") == 1).alias("strong"), F.sum("share").alias("weight"))
+    r = sites.join(named, "name").withColumn("share", F.col("strength") / F.col("candidates")).withColumn("module", F.col("owner") == F.col("file"))
+    refs = joins.strong(r).join(joins.weights(r), ["owner", "id"])
     return {"symbols": symbols, "refs": refs}
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refgraph.operators import graph, joins, layout, similarity
+from refgraph.operators import graph, joins, layout, routes, similarity
 from refgraph.plans import registry
 from refgraph.sources import code, declared
 from refgraph.streaming import census
@@ -21,6 +21,15 @@ def way(request, monkeypatch):
         monkeypatch.setattr(graph, "SMALL", -1)
 
 
+@pytest.fixture
+def few(spark):
+    """One partition a shuffle, as hundreds of small rounds are made."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def edges(spark, text, strong=True):
     rows = [(a, b, 1.0, strong if len(r) == 0 else r[0] != "?") for e in text.split() for a, b, *r in [[*e[:2], *e[2:]]]]
     return spark.createDataFrame(rows, "src string, dst string, w double, strong boolean")
@@ -47,9 +56,29 @@ def ids(spark, text):
         ("AB", "cannot_reach", "", "R", "BROKEN"),
     ],
 )
-def test_contracts(way, spark, refs, kind, guard, sink, want):
+def test_contracts(few, spark, refs, kind, guard, sink, want):
     source = "RT" if "T" in refs else "R"
-    assert graph.verdict(ids(spark, source), ids(spark, sink), edges(spark, refs), kind, ids(spark, guard)) == want
+    one = (ids(spark, source), ids(spark, sink), ids(spark, guard))
+    assert routes.verify([("it", kind, *one), ("bad", "crossing", *one)], edges(spark, refs)) == [("it", want), ("bad", "EMPTY")]
+
+
+def test_chokepoints_and_proposals(few, spark):
+    e = edges(spark, "RA AB AC BD CD DS RG GX DG").select("src", "dst").cache()
+    source, sink = ids(spark, "R"), ids(spark, "S")
+    assert routes.shortest(source, sink, e) == ["R", "A", "B", "D", "S"]
+    assert sorted(routes.chokepoints(source, sink, e)) == ["A", "D"]
+    mass = spark.createDataFrame([(x, i / 10) for i, x in enumerate("ABCD")], "id string, mass double")
+    # B and C are called by A alone, so without their callers nothing is left.
+    assert routes.propose(source, sink, e, mass) == [("crosses", "D", 0.3), ("requires", "C", 0.2), ("requires", "B", 0.1), ("crosses", "A", 0.0)]
+    assert routes.propose(source, ids(spark, "Q"), e, mass) == [] and routes.chokepoints(source, ids(spark, "Q"), e) == []
+
+
+def test_contracts_look_to_the_end_of_a_chain(few, spark):
+    chain = spark.createDataFrame([(i, i + 1, True) for i in range(300)], "src long, dst long, strong boolean")
+    at = lambda x: spark.createDataFrame([(x,)], "id long")
+    assert routes.verify([("far", "cannot_reach", at(0), at(300), at(0))], chain) == [("far", "BROKEN")]
+    reached = graph.depths(at(0), chain.select("src", "dst"))
+    assert graph.path(reached, 300) == list(range(301))
 
 
 def test_witness_is_the_least(way, spark):
@@ -58,15 +87,6 @@ def test_witness_is_the_least(way, spark):
     assert {r.id: r.depth for r in reached.collect()} == {"R": 0, "A": 1, "B": 1, "S": 2, "X": 3}
 
 
-@pytest.fixture
-def few(spark):
-    """One partition a shuffle, as hundreds of small rounds are made."""
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", 1)
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", old)
-
-
 def test_long_chains_are_reached_to_their_end(way, few, spark):
     n = 210 if graph.SMALL < 0 else 500  # both are deeper than any number of rounds in graph
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
@@ -124,6 +144,10 @@ def test_levels(way, spark):
     for r in graph.levels(symbols, roots, edges(spark, "ap mw?"), joins.nested(symbols, 5)).collect():
         got.setdefault(r.level, set()).add(r.id)
     assert got == {"PRODUCT": {"a", "p"}, "PRODUCT_WEAK": {"m", "w"}, "NOT_PRODUCT": {"n"}, "BY_NESTING": {"m", "w"}, "DEAD": {"x"}}
+    more = symbols.unionByName(spark.createDataFrame([("y", "g", 1, 2), ("z", "g", 3, 4)], symbols.schema))
+    imported = spark.createDataFrame([("f", "x", True), ("g", "y", False)], "file string, dst string, strong boolean")
+    got = {(r.id, r.level) for r in graph.levels(more, roots, edges(spark, "ap mw?"), joins.nested(more, 5), imported).collect()}
+    assert {("x", "PRODUCT"), ("y", "NOT_PRODUCT"), ("z", "DEAD")} <= got and ("x", "DEAD") not in got  # f holds a product root
 
 
 def test_condensed_chain(spark):
