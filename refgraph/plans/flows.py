@@ -242,20 +242,28 @@ def route_dag(t: Tables):
     return inside.join(a.withColumn("source", F.lit(True)), "id", "left").join(z.withColumn("sink", F.lit(True)), "id", "left").select("id", F.coalesce("source", F.lit(False)).alias("source"), F.coalesce("sink", F.lit(False)).alias("sink"))
 
 
-_SINGLE = f"""{b.RETURNED}, {b.PARTS}, {b.ROOTS}, s as (select src, dst from edges where strong), flipped as (select dst as src, src as dst from s), z as (select id from parts where module = 'LARGE'),
-one as (select src, min(dst) as next from s group by src having count(distinct dst) = 1),
-a as (select min(src) as id from one where src in (select id from roots) and next not in (from z) and next in (select src from s where dst <> next)),
-{_reach('fwd', 'a', 's')}, {_reach('bwd', 'z', 'flipped')}, inner_ids as (select id from fwd where id in (from bwd)), middle as (select id from inner_ids where id not in (from a) and id not in (from z))"""
+_GEO = """s as materialized (select distinct src, dst from (
+  select 'o' || o_orderkey as src, 'c' || o_custkey as dst from orders union all select 'o' || o_orderkey, 'n' || c_nationkey from orders join customer on c_custkey = o_custkey where o_orderpriority = '1-URGENT'
+  union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation
+  union all select 'n' || n_nationkey, 'k' || n_nationkey from nation union all select 'k' || n_nationkey, 'r' || n_regionkey from nation))"""
+_SINGLE = f"""{_GEO}, flipped as (select dst as src, src as dst from s), z as (select 'r' || r_regionkey as id from region),
+a as (select 'o' || o_orderkey as id from orders join customer on c_custkey = o_custkey where c_nationkey = 7),
+{_reach('fwd', 'a', 's')}, {_reach('bwd', 'z', 'flipped')}, inner_ids as materialized (select id from fwd where id in (from bwd)), middle as materialized (select id from inner_ids where id not in (from a) and id not in (from z))"""
 
 
 def _single(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The least root of one way only, the large parts, and the strong edges."""
-    _, z, s = _ends(t)
-    s = s.select("src", "dst").checkpoint()
-    one = s.groupBy("src").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("next")).where("n = 1")
-    on = s.where("src <> dst").select(F.col("src").alias("next")).distinct()
-    one = one.join(b.roots(t).select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(z.withColumnRenamed("id", "next"), "next", "left_anti").join(on, "next", "left_semi")
-    return one.agg(F.min("src").alias("id")).where("id is not null"), z, s
+    """The orders of one nation, the regions, and the references between orders, customers, nations, their desks and regions."""
+    name = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    o = t["orders"].join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    pairs = [
+        (t["orders"], ("o", "o_orderkey"), ("c", "o_custkey")), (o.where("o_orderpriority = '1-URGENT'"), ("o", "o_orderkey"), ("n", "c_nationkey")), (t["customer"], ("c", "c_custkey"), ("n", "c_nationkey")),
+        (t["nation"], ("n", "n_nationkey"), ("r", "n_regionkey")), (t["nation"], ("n", "n_nationkey"), ("k", "n_nationkey")), (t["nation"], ("k", "n_nationkey"), ("r", "n_regionkey")),
+    ]
+    s = None
+    for frame, src, dst in pairs:
+        part = frame.select(name(*src).alias("src"), name(*dst).alias("dst"))
+        s = part if s is None else s.unionByName(part)
+    return o.where("c_nationkey = 7").select(name("o", "o_orderkey").alias("id")), t["region"].select(name("r", "r_regionkey").alias("id")), s.distinct().checkpoint()
 
 
 @query(f"""with recursive {_SINGLE}, {_bfs('d', 'a', 's')}, via as (select e.dst as id, min(e.src) as via from s e join d x on x.id = e.src join d y on y.id = e.dst where y.depth = x.depth + 1 group by e.dst),
@@ -264,7 +272,8 @@ r(cand, id) as (select m.id, a.id from middle m, a union select r.cand, s.dst fr
 choke as (select id from middle where id not in (select cand from r where r.id in (from z)))
 select i.id, i.id in (from a) as source, i.id in (from z) as sink, i.id in (from choke) as chokepoint, case when i.id in (from walk) then (select depth from d where d.id = i.id) end::INT as step from inner_ids i""")
 def route_chokepoints(t: Tables):
-    """What lies between a root and the large parts, which of it can't be left out, and its place on the shortest path."""
+    """What lies between the orders of a nation and the regions, which of it can't be left out, and its place on the
+    shortest path."""
     checkpointing(t.spark)
     a, z, s = _single(t)
     schema = f"id {s.schema['src'].dataType.simpleString()}"
@@ -276,17 +285,17 @@ def route_chokepoints(t: Tables):
     return out.join(t.spark.createDataFrame([(x, i) for i, x in enumerate(path)], f"{schema}, step int"), "id", "left")
 
 
-@query(f"""with recursive {_SINGLE}, {_MASS[_MASS.index("p as ("):]}, ranked as (select m.id, coalesce(round(m2.m, 7), 0) as mass from middle m left join mass m2 using (id) order by 2 desc, 1 limit 120),
+@query(f"""with recursive {_SINGLE}, ranked as materialized (select m.id, (select count(*) from s where s.dst = m.id)::DOUBLE as mass from middle m order by 2 desc, 1 limit 120),
 gone as (select 'crosses' as kind, id as cand, id from ranked union all select 'requires', id, id from ranked union all select 'requires', r.id, s.src from ranked r join s on s.dst = r.id),
 r(kind, cand, id) as (select k.kind, c.id, a.id from ranked c, a, (values ('crosses'), ('requires')) k(kind) where (k.kind, c.id, a.id) not in (select kind, cand, id from gone)
   union select r.kind, r.cand, s.dst from r join s on s.src = r.id where not exists (select 1 from gone g where g.kind = r.kind and g.cand = r.cand and g.id = s.dst)),
 cut as (select k.kind, c.id, c.mass from ranked c, (values ('crosses'), ('requires')) k(kind) where (k.kind, c.id) not in (select kind, cand from r where id in (from z)))
 select min(kind) as kind, id, any_value(mass) as mass from cut group by id order by mass desc, id limit 10""")
 def propose_chokepoints(t: Tables):
-    """What a contract between a root and the large parts could guarantee, by walk mass."""
+    """What a contract between the orders of a nation and the regions could guarantee, by how many refer to it."""
     checkpointing(t.spark)
     a, z, s = _single(t)
-    mass = _mass(t).select("id", F.round("mass", 7).alias("mass"))
+    mass = s.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("mass"))
     return t.spark.createDataFrame(routes.propose(a, z, s, mass), f"kind string, id {s.schema['src'].dataType.simpleString()}, mass double")
 
 

@@ -74,9 +74,9 @@ def test_chokepoints_and_proposals(few, spark):
 
 
 def test_contracts_look_to_the_end_of_a_chain(few, spark):
-    chain = spark.createDataFrame([(i, i + 1, True) for i in range(300)], "src long, dst long, strong boolean")
+    chain = spark.createDataFrame([(i, i + 1, i < 40) for i in range(300)], "src long, dst long, strong boolean").cache()
     at = lambda x: spark.createDataFrame([(x,)], "id long")
-    assert routes.verify([("far", "cannot_reach", at(0), at(300), at(0))], chain) == [("far", "BROKEN")]
+    assert routes.verify([("far", "cannot_reach", at(0), at(40), at(0))], chain) == [("far", "BROKEN")]
     reached = graph.depths(at(0), chain.select("src", "dst"))
     assert graph.path(reached, 300) == list(range(301))
 
