@@ -225,6 +225,19 @@ def forks(calls: DataFrame) -> DataFrame:
     return calls.groupBy("src", "cond").agg(F.count_distinct("branch").alias("branches"), F.array_sort(F.collect_set("dst")).alias("targets")).where("branches >= 2")
 
 
+def forks_at_runtime(calls: DataFrame, observed: DataFrame) -> DataFrame:
+    """(src, cond, runtime, happen): what of a fork's branches is compatible with what was seen; calls(src, cond, branch, dst),
+    observed(id). A branch counts as seen if one of its targets is; never more is said than "compatible", as another caller may
+    have run it."""
+    seen = observed.select(F.col("id").alias("dst")).distinct().withColumn("seen", F.lit(True))
+    each = calls.join(seen, "dst", "left").groupBy("src", "cond", "branch").agg(F.count("seen").alias("seen"))
+    happen, rest = (F.array_sort(F.collect_list(F.when(x, F.col("branch")))) for x in (F.col("seen") > 0, F.col("seen") == 0))
+    both = each.groupBy("src", "cond").agg(happen.alias("happen"), rest.alias("rest")).where(F.size("happen") + F.size("rest") >= 2)
+    n = F.size("happen")
+    said = F.when(F.size("rest") == 0, "every branch happens").when(n == 1, F.concat(F.lit("compatible with "), F.get("happen", F.lit(0)))).when(n == 0, "no branch observed").otherwise("some happen")
+    return both.select("src", "cond", said.alias("runtime"), "happen")
+
+
 def hubs(weights: DataFrame, share: float = 0.01) -> DataFrame:
     """(id, degree, hub): weighted degree over both ends; the top ``share`` (one at least) are hubs.
 
@@ -257,6 +270,12 @@ def modularity(weights: DataFrame, groups: DataFrame) -> DataFrame:
     return cell.join(sizes, "grp").crossJoin(F.broadcast(m2)).select("grp", "inside", "degree", (F.col("inside") / F.col("m2") - (F.col("degree") / F.col("m2")) ** 2).alias("q"))  # m2 is one row
 
 
+def cohesion(weights: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, cohesion): which part of a group's references, in both directions, stays inside it."""
+    a = symmetric(weights).join(groups.select(F.col("id").alias("src"), F.col("grp").alias("a")), "src").join(groups.select(F.col("id").alias("dst"), F.col("grp").alias("b")), "dst")
+    return a.groupBy(F.col("a").alias("grp")).agg((F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("cohesion"))
+
+
 def merge_gain(weights: DataFrame, groups: DataFrame, least: int = 15) -> DataFrame:
     """F16: (a, b, gain) for connected pairs of groups of ``least`` members or more, a < b."""
     w = _grouped(weights, groups)
@@ -291,6 +310,63 @@ def islands(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return name.join(f, "id").select("id", "file", "island")
 
 
+def island_verdicts(labels: DataFrame, cohesive: DataFrame, least: int = 10) -> DataFrame:
+    """(file, symbols, cohesion, largest, islands, verdict) of files of ``least`` symbols or more; labels(id, file, island),
+    cohesive(grp, cohesion). A dominant island wins over low cohesion."""
+    sized = labels.groupBy("file", "island").agg(F.count(F.lit(1)).alias("n"))
+    x = sized.groupBy("file").agg(F.sum("n").alias("symbols"), (F.max("n") / F.sum("n")).alias("largest"), F.count_if(F.col("n") >= 2).alias("islands")).where(F.col("symbols") >= least)
+    x = x.join(cohesive.withColumnRenamed("grp", "file"), "file", "left").withColumn("cohesion", F.coalesce("cohesion", F.lit(0.0)))
+    said = F.when(F.col("largest") >= 0.6, "one big thing").when(F.col("cohesion") < 0.15, "not cohesive").when(F.col("islands") >= 3, "split along the islands").otherwise("no clear signal")
+    return x.select("file", "symbols", "cohesion", "largest", "islands", said.alias("verdict"))
+
+
+def swept(weights: DataFrame, groups: DataFrame, inflations: tuple[float, ...], least: int = 5, rounds: int = 24, top: int | None = 40) -> DataFrame:
+    """(inflation, k, q): for each inflation the clusters of ``least`` members or more and the modularity of all; inflation
+    null: the declared groups(id, grp). All are scored on the graph without hubs, which is the one that was clustered."""
+    checkpointing(weights.sparkSession)
+    hub = hubs(weights).where("hub").select("id")
+    w = weights.join(hub.withColumnRenamed("id", "src"), "src", "left_anti").join(hub.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "w").checkpoint()
+    nodes = groups.select("id").distinct().join(hub, "id", "left_anti").checkpoint()
+    tried = [(None, groups.join(hub, "id", "left_anti").select("id", "grp"))]
+    tried += [(r, mcl(w, nodes, r, rounds, top=top).select("id", F.col("cluster").alias("grp"))) for r in inflations]
+    out = None
+    for r, found in tried:
+        found = found.checkpoint()
+        k = found.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") >= (1 if r is None else least)).alias("k"))
+        row = k.crossJoin(modularity(w, found).agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("q"))).select(F.lit(r).cast("double").alias("inflation"), "k", "q")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def submodules(weights: DataFrame, groups: DataFrame, inflations: tuple[float, ...] = (1.2, 1.4, 1.7, 2.0), symbols: int = 25, least: int = 4, rounds: int = 20) -> DataFrame:
+    """(module, symbols, cohesion, q, k, inflation): each module's best partition, scored inside it alone.
+
+    Modules share no edges once those between them are left out, so one clustering serves all of them at once and none
+    comes to one task. Modules of fewer than ``symbols`` are left out; one without a partition of positive q is one part.
+    """
+    checkpointing(weights.sparkSession)
+    g = groups.select("id", "grp").distinct().checkpoint()
+    big = g.groupBy(F.col("grp").alias("module")).agg(F.count(F.lit(1)).alias("symbols")).where(F.col("symbols") >= symbols)
+    inner = weights.join(g.select(F.col("id").alias("src"), F.col("grp").alias("module")), "src").join(g.select(F.col("id").alias("dst"), F.col("grp").alias("other")), "dst").where("module = other")
+    inner = inner.join(big.select("module"), "module", "left_semi").select("src", "dst", "w").checkpoint()
+    own = g.select("id", F.col("grp").alias("module"))
+    nodes = own.join(big, "module", "left_semi").select("id").checkpoint()
+    a = symmetric(inner).join(own.withColumnRenamed("id", "src"), "src").checkpoint()
+    m2 = a.groupBy("module").agg(F.sum("w").alias("m2"))
+    out = None
+    for r in inflations:
+        found = mcl(inner, nodes, r, rounds, top=None).checkpoint()
+        c = a.join(found.select(F.col("id").alias("src"), F.col("cluster").alias("ca")), "src").join(found.select(F.col("id").alias("dst"), F.col("cluster").alias("cb")), "dst")
+        cell = c.groupBy("module", F.col("ca").alias("cluster")).agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("degree"))
+        size = found.join(own, "id").groupBy("module", "cluster").agg(F.count(F.lit(1)).alias("n"))
+        q = cell.join(size, ["module", "cluster"], "right").join(m2, "module").withColumn("q", F.when(F.col("n") >= 2, F.coalesce("inside", F.lit(0.0)) / F.col("m2") - (F.coalesce("degree", F.lit(0.0)) / F.col("m2")) ** 2).otherwise(0.0))
+        q = q.groupBy("module").agg(F.sum("q").alias("q"), F.count_if(F.col("n") >= least).alias("k")).select("module", "q", "k", F.lit(r).alias("inflation"))
+        out = q if out is None else out.unionByName(q)
+    best = out.where("q > 0").groupBy("module").agg(F.max_by(F.struct("q", "k", "inflation"), F.struct("q", -F.col("inflation"))).alias("x"))
+    every = big.join(m2.select("module"), "module", "left_semi").join(cohesion(weights, g).withColumnRenamed("grp", "module"), "module", "left").join(best, "module", "left")
+    return every.select("module", "symbols", "cohesion", F.coalesce("x.q", F.lit(0.0)).alias("q"), F.coalesce("x.k", F.lit(1)).alias("k"), F.col("x.inflation").alias("inflation"))
+
+
 def mcl(weights: DataFrame, nodes: DataFrame, inflation: float = 2.0, rounds: int = 24, prune: float = 1e-5, top: int | None = 40) -> DataFrame:
     """(id, cluster) by Markov clustering; cluster is the least row index of the greatest value of a column.
 

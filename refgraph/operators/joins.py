@@ -146,3 +146,34 @@ def mentions(texts: DataFrame, key: str, text: str, literals: DataFrame, words:
         block = short.where(F.pmod(F.xxhash64("literal_id"), F.lit(parts)) == i)
         out = out.unionByName(texts.join(F.broadcast(block), F.col(text).contains(F.col("literal"))).select(key, "literal_id"))
     return out
+
+
+def inventory_diff(mine: DataFrame, calls: DataFrame, theirs: DataFrame, their_calls: DataFrame) -> DataFrame:
+    """(kind, n): symbols (id) that only we, only they or both have, and their calls(src, dst) between our symbols that we lack."""
+    a, z = mine.select("id").distinct(), theirs.select("id").distinct()
+    known = their_calls.select("src", "dst").distinct().join(a.withColumnRenamed("id", "src"), "src", "left_semi").join(a.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    parts = {"only mine": a.join(z, "id", "left_anti"), "only theirs": z.join(a, "id", "left_anti"), "both": a.join(z, "id", "left_semi"), "missing calls": known.select("src", "dst").join(calls.select("src", "dst"), ["src", "dst"], "left_anti")}
+    out = None
+    for kind, part in parts.items():
+        row = part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def surfaces(declared: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(surface, target, id, how) for declared(surface, target), a target being ``file:symbol`` or a bare name; symbols(id,
+    file, name, short). A name is a symbol's name or its short one; if a file doesn't have the symbol, all of the file is meant."""
+    path = F.col("target").contains(":")
+    q = declared.select("surface", "target", path.alias("path"), F.when(path, F.substring_index("target", ":", 1)).alias("file"), F.when(path, F.substring_index("target", ":", -1)).otherwise(F.col("target")).alias("called"))
+    names = symbols.select("id", F.col("file").alias("own"), F.explode(F.array_distinct(F.array("name", "short"))).alias("called"))
+    hit = q.where("called <> ''").join(names, "called").where("not path or own = file").select("surface", "target", "id", F.lit("symbol").alias("how")).distinct()
+    rest = q.where("path").join(hit.select("surface", "target").distinct(), ["surface", "target"], "left_anti")
+    return hit.unionByName(rest.join(symbols.select("id", "file"), "file").select("surface", "target", "id", F.lit("file").alias("how")))
+
+
+def woven(own: DataFrame, seams: DataFrame) -> DataFrame:
+    """(src, dst, w, seam): one graph of all projects, own(project, src, dst, w), with names that carry the project; a seam
+    (a, src, z, dst) from project a to z is an edge of weight 1."""
+    name = lambda project, column: F.concat_ws("/", F.col(project).cast("string"), F.col(column).cast("string"))
+    inner = own.select(name("project", "src").alias("src"), name("project", "dst").alias("dst"), "w", F.lit(False).alias("seam"))
+    return inner.unionByName(seams.select(name("a", "src").alias("src"), name("z", "dst").alias("dst"), F.lit(1.0).alias("w"), F.lit(True).alias("seam")).distinct())
