@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refgraph.functions.scalar import root_reason, subtokens
-from refgraph.operators import layout
+from refgraph.operators import joins, layout
 from refgraph.plans import bindings as b
 from refgraph.plans.registry import Tables, query
-from refgraph.sources import code
+from refgraph.sources import bootstrap, code
 
 _MAIN = '''from lib import work as w, unique_helper
 
@@ -116,7 +116,63 @@ def code_blocks(t: Tables):
 @query(_golden("file, line, path", ("main.py", 6, "/items/{id}")))
 def code_seams(t: Tables):
     """Golden; the route carries its router's prefix."""
-    return code.routes(code.facts(_sources(t)))
+    return code.routes(code.facts(_sources(t))).select("file", "line", "path")
+
+
+_CHAIN = [
+    ("back", "api_router.py", 'from routers import ops as ops_module\nfrom routers.docs import router as docs_router\nv1 = APIRouter(prefix="/api/v1")\nv1.include_router(docs_router, prefix="/docs")\nv1.include_router(ops_module.router, prefix="/ops")\n'),
+    ("back", "routers/__init__.py", ""),
+    ("back", "routers/docs.py", 'router = APIRouter(prefix="/d")\n@router.get("/{id}")\ndef one(id):\n    return store.table("documents")\n@tool(name="find_document")\ndef find():\n    return db.rpc("search")\n'),
+    ("back", "routers/ops.py", 'from .deep import sub\nrouter = APIRouter()\nrouter.include_router(sub, prefix="/deep")\n@router.post("/run")\ndef run():\n    pass\n'),
+    ("back", "routers/deep.py", 'sub = APIRouter(prefix="/s")\n@sub.get("/x")\ndef x():\n    pass\n'),
+    ("back", "routers/alone.py", 'router = APIRouter(prefix="/alone")\n@router.get("")\ndef alone():\n    pass\n'),
+    ("back", "loop.py", 'a = APIRouter(prefix="/a")\nb = APIRouter(prefix="/b")\na.include_router(b)\nb.include_router(a)\n@a.get("/y")\ndef y():\n    pass\n'),
+    ("front", "page.py", 'def go(c):\n    c.post("/api/v1/ops/run")\n    again = "/api/v1/ops/run"\n    ask("find_document")\n    c.get("/api/v1/other")\n'),
+]
+
+
+def _chain(t: Tables) -> DataFrame:
+    return code.facts(t.spark.createDataFrame(_CHAIN, "project string, file string, text string"))
+
+
+@query(_golden("file, path", ("routers/docs.py", "/api/v1/docs/d/{id}"), ("routers/ops.py", "/api/v1/ops/run"), ("routers/deep.py", "/api/v1/ops/deep/s/x"), ("routers/alone.py", "/alone"), ("loop.py", "/a/y")))
+def code_route_chain(t: Tables):
+    """Golden; prefixes through three files, relative imports, a router on its own, and two that include each other."""
+    return code.routes(_chain(t)).select("file", "path")
+
+
+_FOLDER = [
+    ("p", "src/main.py", 'if __name__ == "__main__":\n    go()\n'), ("p", "src/api/a.py", '@router.get("/a")\ndef a():\n    pass\n@tool\ndef t():\n    pass\n'), ("p", "src/api/b.py", '@router.post("/b")\ndef b():\n    pass\n@tool\ndef u():\n    pass\n@once\ndef v():\n    pass\n'),
+    ("p", "tests/test_a.py", '@fixture\ndef f():\n    pass\nif __name__ == "__main__":\n    pass\n'), ("p", "scripts/run.py", "import uvicorn\nuvicorn.run(1)\n"), ("p", "src/server.py", "uvicorn.run(app)\n"),
+]
+
+
+@query(_golden("kind, name, n, files, origin", ("source root", "src", 4, 4, "src/api/a.py"), ("test folder", "tests", 1, 1, "tests/test_a.py"), ("auxiliary folder", "scripts", 1, 1, "scripts/run.py"), ("decorator", "tool", 2, 2, "src/api/a.py"), ("maybe decorator", "once", 1, 1, "src/api/b.py"), ("route object", "router", 2, 2, "src/api/a.py"), ("route method", "get", 1, 1, "src/api/a.py"), ("route method", "post", 1, 1, "src/api/b.py"), ("door", "src/api/a.py", 1, 1, "src/api/a.py"), ("door", "src/api/b.py", 1, 1, "src/api/b.py"), ("entry: main", "src/main.py", 1, 1, "src/main.py"), ("entry: server", "src/server.py", 1, 1, "src/server.py")))
+def project_bootstrap(t: Tables):
+    """A10: golden; what a project's files say about how it starts."""
+    sources = t.spark.createDataFrame(_FOLDER, "project string, file string, text string")
+    return bootstrap.detected(sources, code.facts(sources))
+
+
+_BY = code.Selectors(routers=("router", "sub"), patterns=("find_[a-z]+",))
+_SEAMS = [
+    ("back", "exports", "tool", "find_document", "routers/docs.py"), ("back", "exports", "path", "/api/v1/docs/d/{id}", "routers/docs.py"), ("back", "exports", "path", "/api/v1/ops/run", "routers/ops.py"), ("back", "exports", "path", "/api/v1/ops/deep/s/x", "routers/deep.py"), ("back", "exports", "path", "/alone", "routers/alone.py"),
+    ("back", "touches", "table", "documents", "routers/docs.py"), ("back", "touches", "rpc", "search", "routers/docs.py"), ("front", "consumes", "path", "/api/v1/ops/run", "page.py"), ("front", "consumes", "path", "/api/v1/other", "page.py"), ("front", "consumes", "tool", "find_document", "page.py"),
+]
+
+
+@query(_golden("project, side, kind, literal, file", *_SEAMS))
+def code_seam_literals(t: Tables):
+    """Golden; tools by name, routes with prefixes, tables and calls, constants by beginning and pattern."""
+    found = code.seams(_chain(t), _BY).select("project", "side", "kind", "literal", "file").distinct()
+    return found.where("not (project = 'back' and side = 'consumes')")  # the router's own prefix and the tool's own name are constants too
+
+
+@query(_golden("consumer, provider, kind, literal, uses", ("front", "back", "path", "/api/v1/ops/run", 2), ("front", "back", "tool", "find_document", 1)))
+def code_weave(t: Tables):
+    """Golden; projects meet on seams taken from their sources."""
+    s = code.seams(_chain(t), _BY)
+    return joins.across_projects(s.where("side = 'consumes'").select("project", "kind", "literal"), s.where("side <> 'consumes'").select("project", "kind", "literal"))
 
 
 @query(_golden("name, decorator, reason", ("show", "router.get", "http_route"), ("run", "tool", "tool")))

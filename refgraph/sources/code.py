@@ -11,12 +11,13 @@ import ast
 import builtins
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refgraph.session import ship
+from refgraph.session import checkpointing, ship
 
 SCHEMA = "project string, file string, kind string, line int, end int, name string, detail string, strength double, lexical boolean, seq int"
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -24,6 +25,7 @@ _OWN = (ast.ClassDef, *_DEFS)
 _BUILTIN = frozenset(dir(builtins))
 _SCOPES = (ast.GeneratorExp, ast.ListComp, ast.DictComp, ast.SetComp, ast.Lambda)
 LEAST_STATEMENTS, LEAST_BLOCK = 4, 3
+ROUTERS = ("APIRouter", "FastAPI", "Router", "Blueprint")
 
 
 def bound_names(fn: ast.AST) -> set[str]:
@@ -106,6 +108,14 @@ def _dotted(x: ast.AST) -> str | None:
     return f"{x.value.id}.{x.attr}" if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) else None
 
 
+def _said(x: ast.AST) -> str | None:
+    return x.value if isinstance(x, ast.Constant) and isinstance(x.value, str) else None
+
+
+def _keyword(call: ast.Call, name: str) -> str | None:
+    return next((_said(k.value) for k in call.keywords if k.arg == name), None)
+
+
 def extract(text: str) -> list[tuple]:
     """(kind, line, end, name, detail, strength, lexical, seq) for everything in one file."""
     try:
@@ -156,8 +166,10 @@ def extract(text: str) -> list[tuple]:
             for d in node.decorator_list:
                 if name := _dotted(d):
                     add("decorator", node.lineno, node.end_lineno, node.name, name)
-                if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
-                    add("route", node.lineno, node.end_lineno, _dotted(d).split(".")[0] if _dotted(d) else None, d.args[0].value)
+                if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and (path := _said(d.args[0])) is not None:
+                    add("route", node.lineno, node.end_lineno, _dotted(d).split(".")[0] if _dotted(d) else None, path)
+                if isinstance(d, ast.Call) and isinstance(d.func, ast.Name) and (called := _keyword(d, "name")):
+                    add("named", node.lineno, node.end_lineno, d.func.id, called)
             if isinstance(node, _DEFS):
                 if shape := skeleton(node.body, LEAST_STATEMENTS):
                     add("skeleton", node.lineno, node.end_lineno, node.name, hashlib.md5(shape.encode()).hexdigest())
@@ -167,6 +179,8 @@ def extract(text: str) -> list[tuple]:
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
             for a in node.names:
                 real = a.name.rsplit(".", 1)[-1]
+                whole = isinstance(node, ast.Import)
+                add("import", node.lineno, node.end_lineno, a.asname or real, f"{0 if whole else node.level}|{a.name if whole else node.module or ''}|{'' if whole else a.name}")
                 add("site", node.lineno, node.end_lineno, real, None, 1.0, True)
                 if a.asname and a.asname != real:
                     add("alias", node.lineno, node.end_lineno, a.asname, real)
@@ -174,10 +188,18 @@ def extract(text: str) -> list[tuple]:
             add("site", node.lineno, node.end_lineno, node.id, None, 1.0, True)
         elif isinstance(node, ast.Attribute) and isinstance(node.ctx, ast.Load) and node.attr not in _BUILTIN:
             add("site", node.lineno, node.end_lineno, node.attr, None, 0.25, False)
-        elif isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
-            for k in node.value.keywords:
-                if k.arg == "prefix" and isinstance(k.value, ast.Constant) and isinstance(k.value.value, str):
-                    add("prefix", node.lineno, node.end_lineno, node.targets[0].id, k.value.value)
+        elif isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and getattr(node.value.func, "id", None) in ROUTERS:
+            for target in node.targets:
+                if isinstance(target, ast.Name):
+                    add("prefix", node.lineno, node.end_lineno, target.id, _keyword(node.value, "prefix") or "")
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.args:
+            parent, child = getattr(node.func.value, "id", None), node.args[0]
+            if node.func.attr == "include_router" and parent and (inner := child.id if isinstance(child, ast.Name) else _dotted(child)):
+                add("include", node.lineno, node.end_lineno, parent, f"{inner}|{_keyword(node, 'prefix') or ''}")
+            elif literal := _said(child):
+                add("call", node.lineno, node.end_lineno, node.func.attr, literal)
+        elif literal := _said(node):
+            add("text", node.lineno, node.end_lineno, None, literal)
     return out
 
 
@@ -226,8 +248,84 @@ def project_graph(all_facts: DataFrame) -> dict[str, DataFrame]:
     return {"symbols": symbols, "refs": refs}
 
 
+def prefixes(all_facts: DataFrame) -> DataFrame:
+    """(project, file, router, prefix): what a router's paths begin with, followed through the imports of all that includes it.
+
+    Modules meet files by equality of their paths. The chain goes down from routers that none includes, a join a step, the first
+    way found being kept; a router that isn't reached keeps its own prefix.
+    """
+    checkpointing(all_facts.sparkSession)
+    f = all_facts.where("kind in ('prefix', 'include', 'import')").select("project", "file", "kind", "name", "detail").checkpoint()
+    stems = all_facts.select("project", "file").distinct().select("project", F.col("file").alias("at"), F.regexp_replace("file", r"(^|/)__init__\.py$|\.py$", "").alias("stem")).checkpoint()
+    part = lambda i: F.split("detail", r"\|", 3)[i]
+    i = f.where("kind = 'import'").select("project", "file", F.col("name").alias("alias"), part(0).cast("int").alias("level"), F.replace(part(1), F.lit("."), F.lit("/")).alias("module"), part(2).alias("real"))
+    folders = F.split("file", "/")
+    base = F.when(F.col("level") > 0, F.array_join(F.slice(folders, 1, F.greatest(F.size(folders) - F.col("level"), F.lit(0))), "/")).otherwise("")
+    join = lambda *x: F.array_join(F.filter(F.array(*x), lambda y: y != ""), "/")
+    i = i.withColumn("whole", join(base, F.col("module"))).withColumn("inner", join(base, F.col("module"), F.col("real")))
+    inner = stems.select("project", F.col("stem").alias("inner"), F.col("at").alias("sub"))
+    outer = stems.select("project", F.col("stem").alias("whole"), F.col("at").alias("target"))
+    known = i.join(inner, ["project", "inner"], "left").join(outer, ["project", "whole"], "left")
+    module = F.when(F.col("sub").isNotNull(), F.col("sub")).when(F.col("real") == "", F.col("target"))
+    known = known.select("project", "file", "alias", module.alias("module"), F.when(module.isNull(), F.col("target")).alias("origin"), "real").where("module is not null or origin is not null")
+    known = known.groupBy("project", "file", "alias").agg(F.min("module").alias("module"), F.min(F.struct("origin", "real")).alias("o")).select("project", "file", "alias", "module", F.col("o.origin").alias("origin"), F.col("o.real").alias("real")).checkpoint()
+
+    said = F.split("detail", r"\|", 2)
+    c = f.where("kind = 'include'").select("project", "file", F.col("name").alias("router"), said[0].alias("child"), said[1].alias("extra"))
+    c = c.withColumn("alias", F.substring_index("child", ".", 1)).join(known, ["project", "file", "alias"], "left")
+    dotted = F.col("child").contains(".")
+    c = c.select("project", "file", "router", "extra", F.when(dotted, F.coalesce("module", "origin")).otherwise(F.coalesce("origin", "file")).alias("cfile"), F.when(dotted, F.substring_index("child", ".", -1)).otherwise(F.coalesce("real", "child")).alias("cname"), dotted.alias("dotted")).where("cfile is not null")
+    again = known.where("origin is not null").select("project", F.col("file").alias("cfile"), F.col("alias").alias("cname"), F.col("origin").alias("f2"), F.col("real").alias("n2"))
+    c = c.join(again, ["project", "cfile", "cname"], "left")  # what a module itself imported
+    c = c.select("project", "file", "router", "extra", F.when(F.col("dotted"), F.coalesce("f2", "cfile")).otherwise(F.col("cfile")).alias("cfile"), F.when(F.col("dotted"), F.coalesce("n2", "cname")).otherwise(F.col("cname")).alias("cname")).checkpoint()
+
+    key = ["project", "file", "router"]
+    own = f.where("kind = 'prefix'").groupBy("project", "file", F.col("name").alias("router")).agg(F.min("detail").alias("own")).checkpoint()
+    held = c.join(own.select(*key), key, "left_semi").select("project", F.col("cfile").alias("file"), F.col("cname").alias("router")).distinct()
+    level = own.join(held, key, "left_anti").select(*key, F.col("own").alias("prefix")).checkpoint()
+    seen = level
+    while not level.isEmpty():
+        below = level.join(c, key).select("project", F.col("cfile").alias("file"), F.col("cname").alias("router"), F.concat("prefix", "extra").alias("above"))
+        below = below.join(seen.select(*key), key, "left_anti").join(own, key, "left").groupBy(*key).agg(F.min(F.concat("above", F.coalesce("own", F.lit("")))).alias("prefix"))
+        level = below.checkpoint()
+        seen = seen.unionByName(level)
+    return seen.unionByName(own.join(seen.select(*key), key, "left_anti").select(*key, F.col("own").alias("prefix")))
+
+
 def routes(all_facts: DataFrame) -> DataFrame:
-    """(file, line, path): each route with the prefix of its router, its own where none is known."""
-    prefix = all_facts.where("kind = 'prefix'").groupBy("file", F.col("name").alias("router")).agg(F.min("detail").alias("prefix"))
-    r = all_facts.where("kind = 'route'").select("file", F.col("name").alias("router"), "line", F.col("detail").alias("own"))
-    return r.join(prefix, ["file", "router"], "left").select("file", "line", F.concat(F.coalesce("prefix", F.lit("")), "own").alias("path"))
+    """(project, file, line, router, path): each route with the whole prefix of its router."""
+    r = all_facts.where("kind = 'route'").select("project", "file", F.col("name").alias("router"), "line", F.col("detail").alias("own"))
+    whole = F.concat(F.coalesce("prefix", F.lit("")), "own")
+    return r.join(prefixes(all_facts), ["project", "file", "router"], "left").select("project", "file", "line", "router", F.when(whole == "", "/").otherwise(whole).alias("path"))
+
+
+@dataclass(frozen=True)
+class Selectors:
+    """Which literals are seams: decorators with a name=, objects of routes, methods whose first argument names a table or a
+    remote call, beginnings of paths and patterns of tool names among string constants."""
+
+    tools: tuple[str, ...] = ("tool",)
+    routers: tuple[str, ...] = ("router", "app", "api")
+    tables: tuple[str, ...] = ("table", "from_")
+    calls: tuple[str, ...] = ("rpc",)
+    paths: tuple[str, ...] = ("/api/",)
+    patterns: tuple[str, ...] = ()
+
+
+def seams(all_facts: DataFrame, by: Selectors = Selectors()) -> DataFrame:
+    """(project, side, kind, literal, file, line): what a project exports, touches and consumes by name."""
+    def part(rows: DataFrame, side: str, kind: str, literal: str = "detail") -> DataFrame:
+        return rows.select("project", F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.col(literal).alias("literal"), "file", "line")
+
+    f = all_facts
+    named = lambda kind, names: f.where((F.col("kind") == kind) & F.col("name").isin(*names))
+    texts = f.where("kind = 'text'")
+    begins = F.lit(False)
+    for p in by.paths:
+        begins = begins | F.col("detail").startswith(p)
+    fits = F.lit(False)
+    for p in by.patterns:
+        fits = fits | F.col("detail").rlike(f"^(?:{p})")
+    out = part(named("named", by.tools), "exports", "tool").unionByName(part(routes(f).where(F.col("router").isin(*by.routers)), "exports", "path", "path"))
+    out = out.unionByName(part(named("call", by.tables), "touches", "table")).unionByName(part(named("call", by.calls), "touches", "rpc"))
+    return out.unionByName(part(texts.where(begins), "consumes", "path")).unionByName(part(texts.where(fits & ~begins), "consumes", "tool"))

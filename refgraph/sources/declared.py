@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import subprocess
+import tarfile
 import tomllib
 import uuid
 from dataclasses import dataclass, field
@@ -58,12 +60,19 @@ def commits(spark: SparkSession, repository: str, last: int = 400) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, repository: str, ref: str, suffix: str = ".py") -> DataFrame:
-    """sources(project, file, text) at a commit; one process reads all of them."""
-    names = subprocess.run(["git", "-C", repository, "ls-tree", "-r", "--name-only", ref], capture_output=True, text=True, check=True).stdout.split("\n")
-    rows = [(ref, n, subprocess.run(["git", "-C", repository, "show", f"{ref}:{n}"], capture_output=True, text=True, errors="replace", check=True).stdout) for n in names if n.endswith(suffix)]
+    """sources(project, file, text) at a commit; one archive holds all of them."""
+    packed = subprocess.run(["git", "-C", repository, "archive", "--format=tar", ref], capture_output=True, check=True).stdout
+    with tarfile.open(fileobj=io.BytesIO(packed)) as tar:
+        rows = [(ref, m.name, tar.extractfile(m).read().decode(errors="replace")) for m in tar if m.isfile() and m.name.endswith(suffix)]
     return spark.createDataFrame(rows, "project string, file string, text string")
 
 
+def walkthrough(path: str) -> dict[str, tuple[dict, ...]]:
+    """Lanes, stages and cuts of a walkthrough, in the order of their declaration."""
+    raw = tomllib.loads(Path(path).read_text())
+    return {k: tuple(raw.get(k, ())) for k in ("lane", "stage", "cut")}
+
+
 def texts(spark: SparkSession, root: str, most: int = 2 << 20) -> DataFrame:
     """(path, text) of every file of at most ``most`` bytes that is UTF-8."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most)
@@ -121,6 +130,19 @@ def mermaid(edges: DataFrame, most: int = 200) -> str:
     return "\n".join(["flowchart LR", *(f'  {i}["{label(x)}"]' for x, i in name.items()), *(f"  {name[str(r.src)]} -->|{r.w:g}| {name[str(r.dst)]}" for r in rows)])
 
 
+def sequence_diagram(told: DataFrame, most: int = 200) -> str:
+    """A sequence diagram of a told tree (path, depth, ordinal, id, repeats), in the order it is told."""
+    rows = told.where("depth > 0").limit(10 * most).collect()
+    place = {tuple(r.path): r.ordinal for r in told.limit(10 * most).collect()}
+    rows.sort(key=lambda r: [place.get(tuple(r.path[: i + 1]), 0) for i in range(len(r.path))])
+    shown = rows[:most]
+    names = list(dict.fromkeys(str(x) for r in shown for x in r.path[-2:]))
+    label = lambda x: str(x).replace('"', "'").replace(";", ",")
+    out = ["sequenceDiagram", *(f"  participant p{i} as {label(n)}" for i, n in enumerate(names))]
+    out += [f"  p{names.index(str(r.path[-2]))}->>p{names.index(str(r.path[-1]))}: {'again' if r.repeats else 'calls'}" for r in shown]
+    return "\n".join(out + ([f"  Note over p0: {len(rows) - most} more"] if len(rows) > most else []))
+
+
 def toml_locks(found: list[tuple[str, str, str, str]]) -> str:
     """Proposed contracts (source, sink, kind, guarantee) as configuration text."""
     esc = lambda x: x.replace("\\", "\\\\").replace('"', '\\"')
