@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from refgraph.functions import grams as runs
 from refgraph.operators import graph, joins, layout, routes, similarity
 from refgraph.plans import registry
 from refgraph.sources import code, declared
@@ -181,6 +182,66 @@ def test_mcl_matches_dense(spark):
     assert got == want and len({got[0], got[1], got[2]}) == 1 and got[0] != got[5]
 
 
+def _dense_mcl(a, inflation, rounds):
+    np.fill_diagonal(a, np.where(a.max(axis=1) > 0, a.max(axis=1), 1.0))
+    m = a / a.sum(axis=0)
+    for _ in range(rounds):
+        m = (m @ m) ** inflation
+        m[m < 1e-5] = 0
+        m /= m.sum(axis=0)
+    return [int(np.argmax(np.round(m[:, j], 6))) for j in range(len(m))]
+
+
+def _dense_q(a, parts):
+    m2 = a.sum()
+    return sum(a[np.ix_(i, i)].sum() / m2 - (a[i].sum() / m2) ** 2 for g in set(parts) for i in [[k for k, x in enumerate(parts) if x == g]] if len(i) >= 2)
+
+
+def test_sweep_and_submodules_match_dense(few, spark):
+    one = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3)]  # two triangles and a bridge
+    two = [(6, 7), (7, 8), (6, 8), (8, 9), (9, 6), (9, 7)]  # a clique
+    hub = [(10, k) for k in range(10)]
+    frame = lambda pairs: spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src int, dst int, w double")
+    groups = spark.createDataFrame([(k, "m" if k < 6 else "n") for k in range(10)] + [(10, "hub")], "id int, grp string")
+    a = np.zeros((10, 10))
+    for x, y in one + two:
+        a[x, y] = a[y, x] = 1
+    got = {r.inflation: r for r in graph.swept(frame(one + two + hub), groups, (1.6, 2.0), least=3, rounds=8, top=None).collect()}
+    assert got[None].k == 2 and got[None].q == pytest.approx(_dense_q(a, [0] * 6 + [1] * 4))  # without the hub, as are the others
+    for r in (1.6, 2.0):
+        parts = _dense_mcl(a.copy(), r, 8)
+        assert got[r].q == pytest.approx(_dense_q(a, parts)) and got[r].k == sum(parts.count(x) >= 3 for x in set(parts))
+    sub = {r.module: r for r in graph.submodules(frame(one + two + [(5, 6)]), groups, (1.6, 2.0), symbols=4, least=3, rounds=8).collect()}
+    assert set(sub) == {"m", "n"}
+    for name, own in (("m", range(6)), ("n", range(6, 10))):
+        inner = a[np.ix_(own, own)]
+        best = max((_dense_q(inner, _dense_mcl(inner.copy(), r, 8)), -r) for r in (1.6, 2.0))
+        assert sub[name].q == pytest.approx(max(best[0], 0.0), abs=1e-9) and sub[name].cohesion == pytest.approx(inner.sum() / (inner.sum() + 1))
+    assert sub["m"].k == 2
+
+
+def test_forks_at_runtime(spark):
+    calls = spark.createDataFrame([("f", c, br, d) for c, br, d in [(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (2, "b", "z"), (3, "a", "z"), (3, "b", "q"), (4, "a", "x"), (4, "b", "y"), (4, "c", "z"), (5, "a", "x")]], "src string, cond int, branch string, dst string")
+    got = {r.cond: r.runtime for r in graph.forks_at_runtime(calls, ids(spark, "xy")).collect()}
+    assert got == {1: "every branch happens", 2: "compatible with a", 3: "no branch observed", 4: "some happen"}
+
+
+def test_island_verdicts(spark):
+    rows = [("big", i, 0) for i in range(8)] + [("big", 8, 8), ("big", 9, 9)] + [("split", i, i // 3) for i in range(12)] + [("loose", i, i) for i in range(10)] + [("few", i, 0) for i in range(3)]
+    labels = spark.createDataFrame(rows, "file string, id int, island int")
+    tight = spark.createDataFrame([("big", 0.01), ("split", 0.5)], "grp string, cohesion double")
+    assert {r.file: r.verdict for r in graph.island_verdicts(labels, tight).collect()} == {"big": "one big thing", "split": "split along the islands", "loose": "not cohesive"}
+
+
+def test_runs_of_words_equal_expressions(spark):
+    texts = ["a b c d e f g", "a b", "", None, "  x\ty  z w q\n", "a b c d e a b c d e", "\u00e9 \u00fc b c d e"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", similarity.grams(F.col("t")).alias("g"), similarity.signature(F.col("t"), 3).alias("s"), runs.hashed(F.col("t")).alias("h"))
+    import hashlib
+
+    for r in df.collect():
+        assert list(r.s) == sorted(hashlib.md5(g.encode()).hexdigest() for g in r.g or ())[:3] and len(set(r.h)) == len(r.h) == len(r.g or ())
+
+
 def test_quota(spark):
     sites = spark.createDataFrame([(1, "o", "n", 1.0, True), (2, "o", "t", 0.25, False), (3, "o", "?", 1.0, True)], "site int, owner string, name string, strength double, lexical boolean")
     symbols = spark.createDataFrame([("a", "n"), ("b", "n"), ("c", "n"), ("d", "n"), ("e", "t"), ("f", "t")], "id string, name string")
@@ -237,13 +298,27 @@ def test_sources_and_sinks(spark, tmp_path):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
     git("init", "-q"), git("add", "-A"), git("commit", "-qm", "one")
     assert {r.file for r in declared.commits(spark, str(tmp_path)).collect()} == {"pkg/a.py", "build/b.py", "bin"}
-    assert {r.file for r in declared.snapshot(spark, str(tmp_path), "HEAD").collect()} == {"pkg/a.py", "build/b.py"}
+    assert {(r.file, r.text) for r in declared.snapshot(spark, str(tmp_path), "HEAD").collect()} == {("pkg/a.py", "def f():\n    return 1\n"), ("build/b.py", "x = 1\n")}
+    (tmp_path / "w.toml").write_text('[[lane]]\nname = "l"\n[[stage]]\nname = "s"\n')
+    assert declared.walkthrough(str(tmp_path / "w.toml")) == {"lane": ({"name": "l"},), "stage": ({"name": "s"},), "cut": ()}
     (tmp_path / "c.toml").write_text('[project]\nname = "x"\n[modules]\nm = ["a/", "b/"]\n[exclude]\npatterns = ["t"]\n')
     config = declared.load(str(tmp_path / "c.toml"))
     assert [tuple(r) for r in config.groups(spark).collect()] == [("m", "a/", 0), ("m", "b/", 1)] and config.alike == 0.8 and config.skipped == ("t",)
     assert declared.discover(str(tmp_path / "pkg"), "c.toml") == str(tmp_path / "c.toml")
     e = spark.createDataFrame([("a", 'b"', 2.0)], "src string, dst string, w double")
     assert '-->|2|' in declared.mermaid(e) and json.loads(declared.json_lines(e, "bounded").first().json)["caveat"] == "bounded"
+    calls = spark.createDataFrame([("r", "a", 1.0, 1), ("r", "b", 2.0, 2), ("a", "r", 1.0, 1)], "src string, dst string, w double, place int")
+    drawn = declared.sequence_diagram(graph.told(ids(spark, "r"), calls)).split("\n")
+    assert drawn == ["sequenceDiagram", "  participant p0 as r", "  participant p1 as a", "  participant p2 as b", "  p0->>p1: calls", "  p1->>p0: again", "  p0->>p2: calls"]
+    from refgraph.plans.code import _FOLDER
+    from refgraph.sources import bootstrap
+
+    folder = spark.createDataFrame(_FOLDER, "project string, file string, text string")
+    first = bootstrap.starter(bootstrap.detected(folder, code.facts(folder)), 'a "b"')
+    import tomllib as toml
+
+    made = toml.loads(first)
+    assert made["project"] == {"name": 'a "b"', "root": "src"} and made["roots"]["decorators"] == ["tool"] and made["roots"]["entries"] == ["src/main.py", "src/server.py"] and "# maybe: once" in first
     path = declared.written(e, str(tmp_path / "index"))
     assert spark.read.parquet(path).count() == 1
     import tomllib
