@@ -1,6 +1,13 @@
 """A training corpus from ``documents`` in five stages, each of one operator; written to Parquet and read again in between.
 
-A document that loses all its lines to earlier documents goes with them; every other stage's decision is its operator's own.
+A document that loses all its lines to earlier documents goes with them, and ``n_chars`` is made true where lines went; every
+other stage's decision is its operator's own. All stages but the last return the columns that they got, whatever they are.
+
+Defined cases, as composed: a null or empty text passes every stage (it has no lines, fingerprint or shingles to be judged by, and
+its words tell nothing unless training says so) and ends with no tokens; a very long one passes whole, alone in its batch if longer
+than the budget. Of repeated rows, as of all near copies, one stays, the least id, then the least hash of the text, deciding; a
+null id is the greatest. Without labels or benchmark items nothing goes for them, and an empty table stays empty. Extra columns
+pass through and may have any names.
 """
 
 from __future__ import annotations
