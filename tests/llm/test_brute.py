@@ -472,7 +472,7 @@ def test_substring_parts_against_all_pairs(rows):
     assert got == want
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
     """Each stage against what its operator, or brute force, says of the stage's own input."""
     docs = queries.table(spark, SMALL, "documents")
     columns = docs.columns
@@ -501,8 +501,11 @@ def test_pipeline_stages(spark):
 
     one = stages["simhash near-dedup"](spark, cut, SMALL).cache()
     texts = [(r.doc_id, r.text) for r in cut.collect()]
-    have, prints, _ = simhash.signatures([t for _, t in texts])
+    have, prints, keys = simhash.signatures([t for _, t in texts])
     left = {r.doc_id for r in one.collect()}
+    stay = [i for i in range(len(have)) if texts[have[i]][0] in left]
+    for i, j in itertools.combinations(stay, 2):  # no two that stay are near and meet in a shard
+        assert simhash.hamming(prints[i : i + 1], prints[j : j + 1])[0] > simhash.RADIUS or not set(keys[i].tolist()) & set(keys[j].tolist())
     gone = [i for i in range(len(have)) if texts[have[i]][0] not in left]
     for i in gone:  # what went has a near one before it; distinct texts stay
         assert any(simhash.hamming(prints[i : i + 1], prints[j : j + 1])[0] <= simhash.RADIUS for j in range(len(have)) if j != i)
@@ -518,6 +521,13 @@ def test_pipeline_stages(spark):
         assert bad == (r.doc_id not in {c.doc_id for c in clean.collect()})
     assert clean.columns == columns
     packed = stages["packing"](spark, clean, SMALL)
+    clean.write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    same = con.execute(packing.SQL).df().sort_values("doc_id").reset_index(drop=True)[packed.columns]
+    assert same.astype(str).equals(packed.toPandas().sort_values("doc_id").reset_index(drop=True).astype(str))
     assert sorted(r.doc_id for r in packed.collect()) == sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect())
 
 
