@@ -11,7 +11,7 @@ The benchmark side is broadcast in parts of ``PART_CHARS`` characters at most (o
 larger benchmark takes more parts and passes, with the same result. Documents are never shuffled.
 
 Defined cases: null or empty texts have no shingles and neither contaminate nor are contaminated; nor does an item of fewer
-than ``K`` words. Ties in rarity go by hash. Repeated rows of either table each give their rows. The reported window is the
+than ``K`` words. A very long text is searched whole; ids of any type that Arrow knows will do. Ties in rarity go by hash. Repeated rows of either table each give their rows. The reported window is the
 first with the most shingles. Other columns are never read by ``hits`` and pass through ``clean``, whatever their names.
 """
 
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from refgraph.llm import text as tx
 
@@ -175,7 +176,7 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     kinds = docs.schema[id_col].dataType.simpleString(), bench.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start int, found int, total int"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = None
+    out, item_type = None, to_arrow_type(bench.schema[item_col].dataType)
     for items in parts(bench, item_col, item_text):
         held = docs.sparkSession.sparkContext.broadcast(index(docs, items, text_col, k, threshold))
 
@@ -187,7 +188,6 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([ix.ids[i] for i in which], item_type), *(pa.array(x, pa.int32()) for x in ([x[2] for x in found], [x[3] for x in found], [len(ix.sets[i]) for i in which]))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start", "found", "total"])
 
-        item_type = pa.array([], pa.int64()).type if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
         part = source.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out
@@ -195,8 +195,9 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that no item contaminates, all their columns."""
+    every = docs  # rarity is counted over all documents for each part, those that an earlier part took included
     for items in parts(bench, item_col, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(index(docs, items, text_col, k, threshold))
+        held = docs.sparkSession.sparkContext.broadcast(index(every, items, text_col, k, threshold))
         at = docs.columns.index(text_col)
 
         def keep(batches: Iterable[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:

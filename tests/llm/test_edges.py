@@ -174,6 +174,18 @@ def test_decontaminate(docs, bench):
     assert decontaminate.hits(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_decontaminate_in_parts(docs, bench, monkeypatch):
+    more = bench.unionByName(bench.sparkSession.createDataFrame([(i, " ".join(f"other{i}x{j}" for j in range(40))) for i in range(10, 16)], bench.schema))
+    whole = sorted(map(str, decontaminate.hits(docs, more).collect())), sorted(map(str, decontaminate.clean(docs, more).select("doc_id").collect()))
+    monkeypatch.setattr(decontaminate, "PART_CHARS", 1500)
+    assert len(list(decontaminate.parts(more, "item_id", "text"))) > 2
+    assert (sorted(map(str, decontaminate.hits(docs, more).collect())), sorted(map(str, decontaminate.clean(docs, more).select("doc_id").collect()))) == whole
+    for kind in ("string", "double", "date", "decimal(9,2)"):
+        named = bench.selectExpr(f"cast({'date_from_unix_date(int(item_id))' if kind == 'date' else 'item_id'} as {kind}) as item_id", "text")
+        got = decontaminate.hits(docs, named)
+        assert got.schema["item_id"].dataType.simpleString() == kind and got.count() == 6
+
+
 def test_empty_tables(docs, labels, bench, field):
     none = docs.limit(0)
     assert simhash.duplicates(none).count() == simhash.without_duplicates(none).count() == 0
