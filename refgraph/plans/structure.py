@@ -226,15 +226,21 @@ select min(k) filter (2 * up >= total) as half, min(k) filter (5 * up >= 4 * tot
 def mass_concentration(t: Tables):
     """How few parts make 50 and 80 per cent of the revenue.
 
-    Rows are ranked by equal-mass groups: the sorted distinct masses are few against the parts, and inside such a group the
-    count follows by division, so no window sorts all rows.
+    Rows are ranked by equal-mass groups, inside which the count follows by division. The groups are cut into ranges of their
+    mass; sums run inside a range, and only the ranges' totals are summed across, so no window spans all.
     """
+    checkpointing(t.spark)
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     mass = t["lineitem"].groupBy("l_partkey").agg(F.sum(cents).alias("cents"))
     group = mass.groupBy("cents").agg(F.count(F.lit(1)).alias("n"))
     total = group.agg(F.sum(F.col("cents") * F.col("n")).alias("total"))
-    w = Window.orderBy(F.desc("cents")).rowsBetween(Window.unboundedPreceding, -1)
-    run = group.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("up", F.coalesce(F.sum(F.col("cents") * F.col("n")).over(w), F.lit(0))).crossJoin(F.broadcast(total))  # one row
+    ranged = group.repartitionByRange(F.desc("cents")).withColumn("range", F.spark_partition_id()).checkpoint()
+    whole = ranged.groupBy("range").agg(F.sum("n").alias("rows"), F.sum(F.col("cents") * F.col("n")).alias("mass"))
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    whole = whole.select("range", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("rows"), F.coalesce(F.sum("mass").over(ahead), F.lit(0)).alias("mass"))
+    w = Window.partitionBy("range").orderBy(F.desc("cents")).rowsBetween(Window.unboundedPreceding, -1)
+    run = ranged.withColumn("b", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("u", F.coalesce(F.sum(F.col("cents") * F.col("n")).over(w), F.lit(0))).join(whole, "range")
+    run = run.select("cents", "n", (F.col("b") + F.col("rows")).alias("before"), (F.col("u") + F.col("mass")).alias("up")).crossJoin(F.broadcast(total))  # one row
 
     def least(share: float):
         need = F.greatest(F.ceil((F.col("total") * share - F.col("up")) / F.col("cents")), F.lit(1))
@@ -365,7 +371,7 @@ def _shape(column: str):
     return F.md5(F.trim(F.regexp_replace(F.regexp_replace(column, "[0-9]+", "9"), r"\s+", " ")))
 
 
-@query(f"select {_SHAPE} as shape, list(doc_id order by doc_id) as members, count(*) as size from documents group by 1 having count(*) > 1")
+@query(f"select * from (select {_SHAPE} as shape, doc_id, count(*) over (partition by {_SHAPE}) as size from documents) where size > 1")
 def clones_exact(t: Tables):
     """Documents of one shape, numbers and white space aside."""
     return similarity.exact_groups(t["documents"].select("doc_id", _shape("text").alias("shape")), "doc_id", "shape")
@@ -384,11 +390,13 @@ def clones_near(t: Tables):
 
 
 @query("""with p as (select doc_id, unnest(string_split(text, chr(10))) as block from documents)
-select md5(block) as shape, list(distinct doc_id order by doc_id) as documents, count(*) as size from p where length(block) > 40 group by block having count(*) > 1""")
+select md5(block) as shape, doc_id, count(*) as uses, any_value(size) as size from (select *, count(*) over (partition by block) as size from p where length(block) > 40) where size > 1 group by block, doc_id""")
 def clones_blocks(t: Tables):
-    """Paragraphs of over 40 characters that occur more than once."""
+    """Paragraphs of over 40 characters that occur more than once, with the documents that have them."""
     blocks = t["documents"].select("doc_id", F.explode(F.split("text", "\n")).alias("block")).where(F.length("block") > 40).select("doc_id", F.md5("block").alias("shape"))
-    return blocks.groupBy("shape").agg(F.array_sort(F.collect_set("doc_id")).alias("documents"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    uses = blocks.groupBy("shape", "doc_id").agg(F.count(F.lit(1)).alias("uses"))
+    size = uses.groupBy("shape").agg(F.sum("uses").alias("size")).where("size > 1")
+    return uses.join(size, "shape").select("shape", "doc_id", "uses", "size")
 
 
 _SIGNED = f"{_GRAMS}, signed as (select doc_id, list_sort([md5(x) for x in g])[1:48] as s from grams)"
@@ -450,13 +458,16 @@ from edges join parts s on s.id = src join parts d on d.id = dst where s.module
 def map_rollup_edges(t: Tables):
     """References between modules, with the first three as evidence.
 
-    The evidence is the three least references, kept by a bounded rank instead of a list of all.
+    The evidence is the three least references; they are the three least of the three least of 64 parts of each pair of modules,
+    so a pair of modules isn't one task's sort.
     """
     p = b.parts(t)
     e = b.returned(t).join(p.select(F.col("id").alias("src"), F.col("module").alias("a")), "src").join(p.select(F.col("id").alias("dst"), F.col("module").alias("b")), "dst").where("a <> b")
-    k = F.row_number().over(Window.partitionBy("a", "b").orderBy("src", "dst"))
-    shown = F.struct(F.col("k"), F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string")).alias("x"))
-    out = e.withColumn("k", k).groupBy("a", "b").agg(F.count(F.lit(1)).alias("refs"), F.count_if("strong").alias("unambiguous"), F.array_sort(F.collect_list(F.when(F.col("k") <= 3, shown))).alias("evidence"))
+    first = lambda x, *by: x.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("src", "dst"))).where("k <= 3")
+    least = first(first(e.withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(64))), "a", "b", "part"), "a", "b")
+    shown = F.struct("k", F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string")).alias("x"))
+    evidence = least.groupBy("a", "b").agg(F.array_sort(F.collect_list(shown)).alias("evidence"))
+    out = e.groupBy("a", "b").agg(F.count(F.lit(1)).alias("refs"), F.count_if("strong").alias("unambiguous")).join(evidence, ["a", "b"])
     return out.select(F.col("a").alias("src"), F.col("b").alias("dst"), "refs", "unambiguous", F.transform("evidence", lambda x: x["x"]).alias("evidence"))
 
 
