@@ -12,7 +12,8 @@ and (but for the last) the bitmap and the directory of u32.
 
 One pass over the scan, nothing is shuffled; the broadcast vocabulary has a fixed size. Defined cases: a null text has a null
 code and null tokens; an empty one has 0 tokens and a code of its own. Special tokens' names in a text are ordinary text. Ids
-may be null or repeat: every row gives a row. Other columns are never read. An empty table gives an empty result.
+may be null or repeat: every row gives a row. A very long text is one code, read at any place alike. Of equally cheap splits the
+one with the fewest levels is taken, then the one with the lesser first width. Other columns are never read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

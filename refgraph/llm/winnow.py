@@ -6,7 +6,7 @@ word), so any two texts that share ``WINDOW + K - 1`` successive words share a f
 stretch at known places in both. One pass over the scan; nothing is shuffled.
 
 Defined cases: a null or empty text, or one of fewer than ``K`` words, has no fingerprints (empty lists); one of fewer than
-``WINDOW`` runs has a single window. Ids may be null or repeat: every row gives a row. Other columns are never read, whatever
+``WINDOW`` runs has a single window; a very long one is read whole. Ids may be null or repeat: every row gives a row. Other columns are never read, whatever
 their names. An empty table gives an empty result.
 """
 
