@@ -442,7 +442,15 @@ def sequence_narrative(t: Tables):
     return k.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("told"), (F.first("n") - F.count(F.lit(1))).alias("pruned"))
 
 
-@query()
+_TOLD = " union all ".join(f"select * from l{k}" for k in range(5))
+_LEVEL = "l{k} as (select list_append(path, e.dst) as path, {k} as depth, e.ordinal, e.dst as id, list_contains(path, e.dst) as repeats from l{j} join told e on e.src = l{j}.id where not repeats)"
+
+
+@query(f"""with {b.RETURNED}, {b.ROOTS}, start as (select src as id from edges where src in (select id from roots) group by src order by sum(w) desc, src limit 1),
+ranked as (select src, dst, count(*) over (partition by src) as n, row_number() over (partition by src order by w desc, dst) as k from edges where src <> dst),
+told as (select src, dst, row_number() over (partition by src order by dst) as ordinal, n - count(*) over (partition by src) as pruned from ranked where k <= 8), cut as (select distinct src, pruned from told),
+l0 as (select [id] as path, 0 as depth, 1 as ordinal, id, false as repeats from start), {", ".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, 5))}
+select path, depth, ordinal::INT as ordinal, id, repeats, case when depth < 4 and not repeats then coalesce(pruned, 0) else 0 end as pruned from ({_TOLD}) left join cut on src = id""")
 def sequence_tree(t: Tables):
     """The whole narrative, 8 successors of each part and 4 levels, from the root of the heaviest edges. Parts have no
     lines, so successors are told in order of their ids."""

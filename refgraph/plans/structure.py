@@ -353,15 +353,21 @@ def cochange_pairs(t: Tables):
 
 
 @query(f"""with {_COCHANGE}, {b.SEQ}, {_SYMMETRIC.replace("GROUP", "file")},
-v1 as (select a, b, w / max(w) over () as v from g where a < b), v2 as (select a, b, n / max(n) over () as v from pairs)
-select a, b, round(sum(v), 6) as value from (select a, b, v from v1 union all select a, b, 0.5 * v from v2) group by a, b""")
+v1 as (select a, b, w / max(w) over () as v from g where a < b), v2 as (select a, b, n / max(n) over () as v from pairs),
+words as (select distinct p_brand as file, p_name as term from part), shared as (select x.file as a, y.file as b, count(*) as n from words x join words y using (term) where x.file < y.file group by all),
+v3 as (select a, b, n / max(n) over () as v from shared)
+select a, b, round(sum(v), 6) as value from (select a, b, v from v1 union all select a, b, 0.5 * v from v2 union all select a, b, 0.3 * v from v3) group by a, b""")
 def multi_view_combine(t: Tables):
-    """references between brands and their co-change, each divided by its greatest value, weighted 1 and 0.5."""
+    """references between brands, their co-change and the names that they share, each divided by its greatest value, weighted
+    1, 0.5 and 0.3."""
     p = b.parts(t)
     refs = graph.symmetric(b.seq(t)).join(p.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(p.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst")
     one = refs.where("a < b").groupBy("a", "b").agg(F.sum("w").alias("value"))
     two = similarity.cochange(_commits(t), least=0.0).select("a", "b", F.col("n").cast("double").alias("value"))
-    return similarity.combined([(one, 1.0), (two, 0.5)]).select("a", "b", F.round("value", 6).alias("value"))
+    words = t["part"].select(F.col("p_brand").alias("file"), F.col("p_name").alias("term")).distinct()
+    both = words.withColumnRenamed("file", "a").join(words.withColumnRenamed("file", "b"), "term").where("a < b")
+    three = both.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return similarity.combined([(one, 1.0), (two, 0.5), (three, 0.3)]).select("a", "b", F.round("value", 6).alias("value"))
 
 
 _SHAPE = r"md5(trim(regexp_replace(regexp_replace(text, '[0-9]+', '9', 'g'), '\s+', ' ', 'g')))"

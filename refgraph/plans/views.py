@@ -305,3 +305,28 @@ def submodules(t: Tables):
     """whether a module is several: its best partition over two inflations, inside it alone; tested on a small graph."""
     w, g = _nations(t)
     return graph.submodules(w, g, (1.4, 2.0), symbols=3, least=2, rounds=8).select("module", "symbols", F.round("cohesion", 3).alias("cohesion"), F.round("q", 3).alias("q"), "k", "inflation")
+
+
+_ABOUT = {
+    "neighbours": ("way || ' ' || module", "refs", "neighbours_of_target", ""),
+    "levels": ("level", "count(*)", "liveness_levels", "join parts using (id) where parts.module = 'PROMO' group by level"),
+    "doors": ("'doors'", "count(*)", "gates_boundary", "where module = 'PROMO'"),
+    "cohesion": ("module", "cohesion", "cohesion_by_module", "where module = 'PROMO'"),
+    "heaviest": ("name", "mass", "pagerank_personalised", "join parts using (id) where parts.module = 'PROMO' order by mass desc, id limit 5"),
+}
+
+
+@query(f"with {b.PARTS} " + " union all ".join(f"(select '{s}' as section, {k} as name, ({v})::DOUBLE as value from {_own(q)} {rest})" for s, (k, v, q, rest) in _ABOUT.items()))
+def orient(t: Tables):
+    """2.7: what to know of a target before work on it: its neighbours, how alive it is, its doors, cohesion and heaviest parts."""
+    p = b.parts(t).where("module = 'PROMO'").select("id", F.col("name").alias("called"))
+    row = lambda section, frame, name, value: frame.select(F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value"))
+    n = neighbours_of_target(t)
+    out = row("neighbours", n, F.concat_ws(" ", "way", "module"), F.col("refs"))
+    alive = flows.liveness_levels(t).join(p, "id").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    out = out.unionByName(row("levels", alive, F.col("level"), F.col("n")))
+    doors = flows.gates_boundary(t).where("module = 'PROMO'").agg(F.count(F.lit(1)).alias("n"))
+    out = out.unionByName(row("doors", doors, F.lit("doors"), F.col("n")))
+    out = out.unionByName(row("cohesion", structure.cohesion_by_module(t).where("module = 'PROMO'"), F.col("module"), F.col("cohesion")))
+    heavy = flows.pagerank_personalised(t).join(p, "id").orderBy(F.desc("mass"), "id").limit(5)
+    return out.unionByName(row("heaviest", heavy, F.col("called"), F.col("mass")))
