@@ -19,7 +19,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xBF58476D1CE4E5B9
 TWO64 = 1 << 64
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 400_000
 
 
 def _letters() -> np.ndarray:
