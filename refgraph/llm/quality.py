@@ -39,6 +39,8 @@ CUTS = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 BINS = 2 * len(CUTS) + 1
 CHI_SQUARE = 18.0
 ROUNDS = 200
+#: Weight decay of the constant, of weights and of factors.
+DECAY = (0, 1e-3, 1e-3)
 BEGINNINGS = (4, 5)
 #: Buckets of hashed features: 2 ** BUCKET_BITS.
 BUCKET_BITS = 22
@@ -172,7 +174,7 @@ def fit(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, size: int, rounds
         e = err.astype(np.float32)
         gw = _gathered(e, rows, begins)
         gv = np.stack([_gathered(e * x, rows, begins) for x in s]) - v * gw
-        for p, m, g, decay in zip((w0, w, v), moments, (np.array([err.sum()]), gw, gv), (0, 1e-6, 1e-5)):
+        for p, m, g, decay in zip((w0, w, v), moments, (np.array([err.sum()]), gw, gv), DECAY):
             g = g + decay * p
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g**2
