@@ -122,7 +122,7 @@ def _addresses(cps: np.ndarray) -> np.ndarray:
 
 def _account(text: str) -> bool:
     """Whether an account number's check digits hold."""
-    return sum(1 for _ in text) >= 15 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+    return len(text) >= 15 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
 def grouped(tokens: list[str]) -> tuple[str, int]:
@@ -187,7 +187,7 @@ def features(core: str, before: str, after: str, sign: bool, blank: bool, group:
     sign and of white space between the first and the node, ``group`` of what it is a part of;
     ``earlier`` is the token before ``before``."""
     shape = re.sub(r"\d", "9", core)
-    short = _LETTERS.sub(_cased, re.sub(r"9+", lambda m: "9" * min(len(m[0]), 5), shape))[:40]
+    short = _LETTERS.sub(_cased, re.sub(r"9+", lambda m: "9" * min(len(m[0]), 5), shape))
     digits = _ascii(core)
     octets = core.split(".")
     out = ["bias", "s" + short, "l" + str(min(len(core) // 4, 12)), "d" + str(min(len(digits), 20)), "a" + str(min(sum(c.isalpha() for c in core) // 4, 6))]
@@ -238,7 +238,7 @@ def features(core: str, before: str, after: str, sign: bool, blank: bool, group:
         around.append("after sign")
     beside = []
     for name, x in (("b", before), ("n", after)):
-        y = re.sub(r"\d", "9", x[:24])
+        y = re.sub(r"\d", "9", x)
         around.append(name + ("9" + _LETTERS.sub(_cased, y) if "9" in y else "none" if not x else "word"))
         if "9" in y:
             beside.append(around[-1])
