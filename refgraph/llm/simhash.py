@@ -1,16 +1,20 @@
-"""Operator 1: SimHash near-duplicates, searched in BK-trees.
+"""Operator 1: SimHash near-duplicates, all of them.
 
 Every document gets a 128-bit SimHash of its set of word bigrams (a one-word document: of that word). Two documents are near
-duplicates if their fingerprints differ in at most ``radius`` bits and they meet in a shard. Shards replace one tree over
-the whole corpus, which no executor could hold: a document goes to ``BANDS`` shards, each named by ``BAND_WIDTH`` minhashes
-of the same bigrams, so that near copies meet in some shard almost surely while a shard stays small. In each shard the
-distinct fingerprints form a BK-tree: children keyed by their integer Hamming distance to the parent; a search follows only
-the edges within the radius of the query's distance. Trees are built level by level and searched with a frontier of
-(query, node) pairs, both in numpy over all shards of a slice. A shard tree stays where its shard is gathered instead of
-being broadcast, because the trees together grow with the corpus; nothing here is broadcast. A shard of more than ``BLOCK``
-fingerprints is cut into blocks by a hash; each block makes a tree of its own, and in a task for every two blocks the one's
-fingerprints search the other's tree. So no task holds more than about two blocks and no pair of a shard is missed. A task
-gives a spanning star of what it linked, not its pairs.
+duplicates if their fingerprints differ in at most ``radius`` bits, whatever else they have in common. The search over distinct
+fingerprints is exact. A fingerprint is cut into ``PARTS`` parts of 16 bits. If two differ in at most ``radius`` bits, then in
+some part they differ in no more bits than ``reaches`` says of it (else the parts would add up to more), so part by part each
+value of the part is looked up with all values that close, and the fingerprints under them are compared whole. For radius 28
+that is 6 % of all pairs, and every pair within the radius is among them. Up to ``SMALL`` fingerprints are compared each with each.
+
+Fingerprints are cut into blocks by a hash; a task has two blocks (or one with itself) and one part, so what a task holds is
+bounded, whatever the texts are like, and nothing is broadcast. They travel as packed bytes. The more blocks, the more tasks
+each fingerprint goes to: ``PARTS`` for each block. A task gives a spanning star of what it linked, not its pairs, and doesn't
+compare what it has linked already, so that many copies of one text don't cost their square.
+
+The search before, BK-trees of shards that are named by minhash bands (``links``), finds only pairs that meet in a shard; no
+query uses it any more. One tree over everything would be exact, but at radius 28 of 128 bits it could hardly leave out anything,
+as most distances are near 64.
 
 Groups are the connected components of near-duplicate fingerprints (large star, small star, with a checkpoint a round).
 
@@ -22,6 +26,7 @@ their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,11 +45,23 @@ HALF = 0xD6E8FEB86659FD93
 SEEDS = [pow(tx.BASE, 3 + 2 * i, tx.TWO64) | 1 for i in range(BANDS * BAND_WIDTH)]
 #: (query, node) pairs that a search holds at once.
 FRONTIER = 2_000_000
+#: Parts of 16 bits of a fingerprint.
+PARTS = 8
 #: Fingerprints of a shard that make one tree.
 BLOCK = 6_000
+#: Fingerprints of a block of the exact search by parts, and of one where each is compared with each.
+CELL, CELL_SMALL = 1_000_000, 10_000
+#: Up to so many fingerprints are compared each with each.
+SMALL = 30_000
+#: Tasks at least, where they are searched by parts, and at most.
+TASKS, MOST_TASKS = 32, 5_000
+#: Pairs compared at once, and pairs found that are kept before they are joined.
+PAIRS, FOUND = 200_000, 500_000
 
 #: spread[b] has bit i of the byte b in the i-th of eight bytes, highest bit first.
 _SPREAD = np.array([sum((b >> i & 1) << 8 * (7 - i) for i in range(8)) for b in range(256)], np.uint64)
+#: All values of a part, those with fewer bits first.
+_MASKS = np.argsort(np.bitwise_count(np.arange(1 << 16)), kind="stable")
 
 
 def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +85,8 @@ def _votes(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(lanes.view(np.uint8).reshape(len(chunks), 64).astype(np.int64), np.searchsorted(chunks, starts), axis=0)
 
 
-def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which texts have a fingerprint, those fingerprints (two unsigned longs each), and their band keys."""
+def signatures(texts: list[str | None], banded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which texts have a fingerprint, those fingerprints (two unsigned longs each), and their band keys (zeros unless ``banded``)."""
     features, owner = bigrams(texts)
     if not len(features):
         return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros((0, BANDS), np.uint64)
@@ -80,25 +97,30 @@ def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
         bits = np.packbits(2 * _votes(f, starts) > sizes[:, None], axis=1)
         halves.append(np.ascontiguousarray(bits).view(np.uint64).ravel())
     keys = np.zeros((len(starts), BANDS), np.uint64)
-    for i, seed in enumerate(SEEDS):
+    for i, seed in enumerate(SEEDS if banded else []):
         least = np.minimum.reduceat(features * np.uint64(seed), starts)
         keys[:, i // BAND_WIDTH] = keys[:, i // BAND_WIDTH] * np.uint64(tx.BASE) + tx.mixed(least)
     return owner[starts], np.stack(halves, axis=1), tx.mixed(keys + np.arange(BANDS, dtype=np.uint64))
 
 
-def _sign(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in tx.batches(source, 2):
-        have, fp, keys = signatures(texts)
-        rows = batch.take(pa.array(have))
-        bands = tx.lists(tx.longs(keys.ravel()), np.full(len(have), BANDS))
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), tx.longs(np.ascontiguousarray(fp[:, 0])), tx.longs(np.ascontiguousarray(fp[:, 1])), bands], ["id", "th", "hi", "lo", "bands"])
+def _sign(banded: bool):
+    def sign(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in tx.batches(source, 2):
+            have, fp, keys = signatures(texts, banded)
+            rows = batch.take(pa.array(have))
+            columns = {"id": rows.column(0), "th": rows.column(1), "hi": tx.longs(np.ascontiguousarray(fp[:, 0])), "lo": tx.longs(np.ascontiguousarray(fp[:, 1]))}
+            if banded:
+                columns["bands"] = tx.lists(tx.longs(keys.ravel()), np.full(len(have), BANDS))
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    return sign
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, hi, lo, bands) for every document that has a word; th is a hash of the text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", banded: bool = True) -> DataFrame:
+    """(id, th, hi, lo, bands if ``banded``) for every document that has a word; th is a hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_sign, f"id {kind}, th long, hi long, lo long, bands array<long>")
+    return source.mapInArrow(_sign(banded), f"id {kind}, th long, hi long, lo long" + ", bands array<long>" * banded)
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,21 +164,34 @@ def bk_search(fp: np.ndarray, parent: np.ndarray, edge: np.ndarray, queries: np.
             stack.append((np.repeat(q, count), order[np.repeat(low, count) + step]))
 
 
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, the least node of each component, after the pairs (a, b) were joined."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+    return label
+
+
 def spanning(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """A star for each component of ``pairs`` over ``n`` nodes: every other node with the component's least."""
     label = np.arange(n)
     for a, b in pairs:
-        while len(a):
-            x, y = label[a], label[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(label, up := label[label]):
-                label = up
+        label = merged(label, a, b)
     rest = np.flatnonzero(label != np.arange(n))
     return rest, label[rest]
 
 
+def reaches(radius: int) -> list[int]:
+    """For each part a number of bits, such that two fingerprints within ``radius`` differ in no more in some part; -1: no need to
+    look there. Were they to differ in one more at least in every part, it would be ``radius`` + 1."""
+    each, more = divmod(radius + 1, PARTS)
+    return [each - (i >= more) for i in range(PARTS)]
+
+
 def linked(fp: np.ndarray, cell: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges whose components are those of all pairs within ``radius`` in the same cell; where some of a cell's rows ask, of the
     pairs of one that asks and one that doesn't. Rows are grouped by cell, those that don't ask first.
@@ -208,7 +243,8 @@ def _link(radius: int):
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between fingerprints, enough to connect all near duplicates; found cell by cell. A shard of up to ``block``
+    """Edges (a, b) between fingerprints, enough to connect all near duplicates that meet in a shard, and no others: what the
+    queries use is ``all_links``. Found cell by cell. A shard of up to ``block``
     fingerprints is one cell; of a larger one each two blocks are."""
     shards = prints.select(F.explode("bands").alias("band"), "hi", "lo").distinct()
     large = shards.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("band", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
@@ -221,15 +257,117 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return cells.mapInArrow(_link(radius), f"a {kind}, b {kind}").distinct()
 
 
+def joined(fp: np.ndarray, low: int, radius: int, part: int | None = None, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Edges whose components are those of all pairs within ``radius`` of one of the first ``low`` fingerprints and one of the
+    rest; if there is no rest, of all pairs among the first. With a part only those pairs that are within its reach there and,
+    of ``turns``, have their turn.
+    """
+    n, label, found, held = len(fp), np.arange(len(fp)), [], 0
+    key = np.zeros(n, np.int64) if part is None else np.ascontiguousarray(fp).view(np.uint16)[:, part].astype(np.int64)
+    ball = _MASKS[: 1 if part is None else np.count_nonzero(np.bitwise_count(_MASKS) <= reaches(radius)[part])]
+    ask = np.argsort(key[:low], kind="stable")
+    node = ask if low == n else low + np.argsort(key[low:], kind="stable")
+    hi, lo = fp[node, 0], fp[node, 1]
+    first = np.searchsorted(key[node], np.arange((1 << 16) + 1))
+    heads = np.flatnonzero(np.diff(key[ask], prepend=-1))
+    count = np.arange(n)
+    for head, end in zip(heads, np.r_[heads[1:], low]):
+        if (own := key[ask[head]]) % turns != turn:
+            continue
+        near = ball ^ own
+        if low == n:
+            near = near[near >= own]  # the others ask for this one
+        begin = first[near]
+        size = first[near + 1] - begin
+        ends = np.cumsum(size)
+        every = np.repeat(begin - ends + size, size) + count[: ends[-1]] if len(ends) else ends
+        left = ask[head:end]
+        while len(left) and len(every):
+            some, at = left, every
+            if len(left) * len(every) > PAIRS:
+                mine = label[left] == label[left[0]]  # where there are many, those of one component needn't ask for that one
+                if mine.sum() > 1:
+                    some, at = left[mine], every[label[node[every]] != label[left[0]]]
+                    if not len(at):
+                        left = left[~mine]
+                        continue
+                some = some[: max(1, PAIRS // len(at))]
+                left = left[~np.isin(left, some, assume_unique=True)]
+            else:
+                left = left[:0]
+            hit = np.bitwise_count(fp[some, 0][:, None] ^ hi[at]) + np.bitwise_count(fp[some, 1][:, None] ^ lo[at]) <= radius
+            if hit.any():
+                q, at_hit = np.nonzero(hit)
+                found.append((some[q], node[at[at_hit]]))
+                held += len(q)
+                if held > FOUND:
+                    label, found, held = merged(label, *map(np.concatenate, zip(*found))), [], 0
+    if found:
+        label = merged(label, *map(np.concatenate, zip(*found)))
+    rest = np.flatnonzero(label != np.arange(n))
+    return rest, label[rest]
+
+
+def _pack(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints (own, hi, lo) as bytes, for every block of a batch."""
+    for batch in source:
+        own, fp = np.asarray(batch.column(0)), np.stack([np.asarray(batch.column(i)) for i in (1, 2)], axis=1)
+        order = np.argsort(own, kind="stable")
+        here, first = np.unique(own[order], return_index=True)
+        packed = [x.tobytes() for x in np.split(fp[order], first[1:])] if len(here) else []
+        yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(packed, pa.binary())], ["own", "packed"])
+
+
+def _join(radius: int, by_part: bool, turns: int):
+    def join(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((x["cell"], x) for batch in source for x in batch.to_pylist())
+        for _, cell in itertools.groupby(rows, lambda x: x[0]):
+            sides: dict[int, list[bytes]] = {}
+            for _, x in cell:
+                sides.setdefault(x["own"], []).append(x["packed"])
+                low, high, slot = x["low"], x["high"], x["slot"]
+            sizes = {k: sum(map(len, v)) // 16 for k, v in sides.items()}
+            if not (sizes.get(low) and sizes.get(high)):
+                continue
+            fp = np.frombuffer(b"".join(itertools.chain(*(sides[k] for k in dict.fromkeys((low, high))))), np.uint64).reshape(-1, 2)
+            del sides
+            a, b = joined(fp, sizes[low], radius, *((slot // turns, slot % turns, turns) if by_part else ()))
+            for i in range(0, len(a), PAIRS):
+                ends = [fp[z[i : i + PAIRS]].view(np.int64) for z in (a, b)]
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([np.ascontiguousarray(z[:, i]) for i in (0, 1)], ["hi", "lo"]) for z in ends], ["a", "b"])
+
+    return join
+
+
+def all_links(prints: DataFrame, radius: int = RADIUS, block: int | None = None, small: int = SMALL) -> DataFrame:
+    """Edges (a, b) between fingerprints (hi, lo), enough to connect all that are within ``radius``. Counts the fingerprints at once."""
+    ready(prints.sparkSession)
+    distinct = prints.select("hi", "lo").distinct().checkpoint()
+    n = distinct.count()
+    by_part = n > small
+    blocks = max(1, -(-n // (block or (CELL if by_part else CELL_SMALL))))
+    twos = blocks * (blocks + 1) // 2
+    turns = max(1, -(-TASKS // (PARTS * twos))) if by_part else 1
+    slots = [i for i in range(PARTS * turns if by_part else 1) if not by_part or reaches(radius)[i // turns] >= 0]
+    packed = distinct.select(F.pmod(F.xxhash64("hi", "lo"), F.lit(blocks)).alias("own"), "hi", "lo").mapInArrow(_pack, "own long, packed binary")
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).withColumn("slot", F.explode(F.array(*map(F.lit, slots))))
+    met = met.select("own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "slot", "packed")
+    met = met.withColumn("cell", F.col("slot") * F.lit(twos) + F.expr("high * (high + 1) div 2") + F.col("low"))
+    tasks = min(twos * PARTS * turns if by_part else twos, MOST_TASKS)
+    cells = met.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell")
+    kind = "struct<hi: long, lo: long>"
+    return cells.mapInArrow(_join(radius, by_part, turns), f"a {kind}, b {kind}").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, th, n, kept_id, kept_th) for each document in a group of two rows at least; n counts equal rows.
 
     The row that stays is that of (kept_id, kept_th).
     """
-    prints = fingerprints(docs, id_col, text_col).groupBy("id", "th", "hi", "lo", "bands").agg(F.count(F.lit(1)).alias("n"))
+    prints = fingerprints(docs, id_col, text_col, banded=False).groupBy("id", "th", "hi", "lo").agg(F.count(F.lit(1)).alias("n"))
     ready(docs.sparkSession)
     prints = prints.checkpoint()
-    label = components(links(prints, radius))
+    label = components(all_links(prints, radius))
     fp = F.struct("hi", "lo")
     member = prints.select("id", "th", "n", fp.alias("node")).join(label, "node", "left").select("id", "th", "n", F.coalesce("component", "node").alias("component"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))

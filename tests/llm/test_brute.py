@@ -86,6 +86,67 @@ def test_simhash_blocks_give_the_same_groups(spark):
         assert parts([((r.a.hi, r.a.lo), (r.b.hi, r.b.lo)) for r in simhash.links(prints, block=block).collect()]) == want
 
 
+def _joined(n, pairs):
+    rest, least = simhash.spanning(n, [pairs])
+    label = np.arange(n)
+    label[rest] = least
+    return label
+
+
+def _all_near(fp):
+    d = np.bitwise_count(fp[:, 0, None] ^ fp[:, 0]) + np.bitwise_count(fp[:, 1, None] ^ fp[:, 1])
+    return np.nonzero(np.triu(d <= simhash.RADIUS, 1))
+
+
+def test_simhash_links_all_near_pairs(spark):
+    """Also of documents without a bigram in common, which are near by their fingerprints only: searched each with each and by parts."""
+    rng = random.Random(11)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(3))) for i in range(700)] + [(1000 + i, _edited(_words(3, 60), i, 0.02)) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    prints = simhash.fingerprints(frame).cache()
+    fp = np.unique(np.array([(r.hi, r.lo) for r in prints.collect()], np.int64).view(np.uint64), axis=0)
+    bands = {r.id: set(r.bands) for r in prints.collect()}
+    place = {tuple(x): i for i, x in enumerate(fp.view(np.int64).tolist())}
+    want = _joined(len(fp), _all_near(fp))
+    owner = {place[r.hi, r.lo]: r.id for r in prints.collect()}
+    assert sum(not bands[owner[a]] & bands[owner[b]] for a, b in zip(*_all_near(fp))) >= 10
+    for options in ({}, {"block": 200}, {"small": 0}, {"small": 0, "block": 300}):
+        edges = [(place[r.a.hi, r.a.lo], place[r.b.hi, r.b.lo]) for r in simhash.all_links(prints, **options).collect()]
+        assert np.array_equal(_joined(len(fp), tuple(np.array(edges).T)), want)
+    group = {r.id: r.kept_id for r in simhash.groups(frame).collect()}
+    least = {}
+    for at, i in ((place[r.hi, r.lo], r.id) for r in prints.collect()):
+        least.setdefault(want[at], []).append(i)
+    assert group == {i: min(ids) for ids in least.values() if len(ids) > 1 for i in ids}
+
+
+@pytest.mark.parametrize("pairs", [50, 200_000])
+def test_simhash_parts_are_exact(monkeypatch, pairs):
+    """A cluster of near fingerprints, pairs at just the radius and random ones; two blocks or one, few pairs at once or many."""
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    monkeypatch.setattr(simhash, "FOUND", pairs)
+    rng = np.random.default_rng(7)
+
+    def flipped(x, k):
+        bits = np.zeros(128, np.uint8)
+        bits[rng.choice(128, k, replace=False)] = 1
+        return x ^ np.packbits(bits).view(np.uint64)
+
+    base = rng.integers(0, 1 << 63, (120, 2), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (120, 2), dtype=np.uint64)
+    edge = np.array([flipped(x, k) for x in base for k in (28, 29)])
+    hot = np.array([flipped(base[0], k % 6) for k in range(150)])
+    fp = rng.permutation(np.unique(np.concatenate([base, edge, hot]), axis=0))
+    a, b = _all_near(fp)
+    for low in (len(fp), len(fp) // 3):
+        across = (a < low) != (b < low) if low < len(fp) else np.ones(len(a), bool)
+        want = _joined(len(fp), (a[across], b[across]))
+        edges = [simhash.joined(fp, low, simhash.RADIUS, part, turn, 2) for part in range(simhash.PARTS) for turn in range(2)]
+        assert np.array_equal(_joined(len(fp), tuple(map(np.concatenate, zip(*edges)))), want)
+        assert np.array_equal(_joined(len(fp), simhash.joined(fp, low, simhash.RADIUS)), want)
+    for radius in (0, 3, 7, 28, 31):
+        assert sum(r + 1 for r in simhash.reaches(radius)) == radius + 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
