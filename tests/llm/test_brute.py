@@ -147,6 +147,23 @@ def test_simhash_parts_are_exact(monkeypatch, pairs):
         assert sum(r + 1 for r in simhash.reaches(radius)) == radius + 1
 
 
+def test_simhash_compares_few_pairs(monkeypatch):
+    """Of random fingerprints 6 % of all pairs are compared; of a cluster less than one comparison a pair, although most of the eight
+    parts put nearly all of its pairs before the search."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(simhash, "PAIRS", 20_000)
+    monkeypatch.setattr(simhash, "FOUND", 20_000)
+    lone = rng.integers(0, 1 << 63, (2500, 2), dtype=np.uint64)
+    hot = np.unique(np.stack([lone[0, 0] ^ (np.uint64(1) << rng.integers(0, 64, 1500, dtype=np.uint64)), lone[0, 1] ^ (np.uint64(1) << rng.integers(0, 64, 1500, dtype=np.uint64))], axis=1), axis=0)
+    count, compared = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (compared.append(x.size if x.ndim == 2 else 0), count(x))[1])
+    for fp, share in ((lone, 0.1), (hot, 1)):
+        compared.clear()
+        for part in range(simhash.PARTS):
+            simhash.joined(fp, len(fp), simhash.RADIUS, part)
+        assert sum(compared) / 2 < share * len(fp) ** 2 / 2, sum(compared) / len(fp) ** 2
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
