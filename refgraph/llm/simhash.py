@@ -2,10 +2,12 @@
 
 Every document gets a 128-bit SimHash of its set of word bigrams (a one-word document: of that word). Two documents are near
 duplicates if their fingerprints differ in at most ``radius`` bits, whatever else they have in common. The search over distinct
-fingerprints is exact. A fingerprint is cut into ``PARTS`` parts of 16 bits. If two differ in at most ``radius`` bits, then in
-some part they differ in no more bits than ``reaches`` says of it (else the parts would add up to more), so part by part each
-value of the part is looked up with all values that close, and the fingerprints under them are compared whole. For radius 28
-that is 6 % of all pairs, and every pair within the radius is among them. Up to ``SMALL`` fingerprints are compared each with each.
+fingerprints is exact. A fingerprint is cut into two halves and ``PARTS`` parts of 16 bits. If two differ in at most ``radius``
+bits, then some half differs in no more bits than ``limits`` says of it, and some part of that half in no more than ``reaches``
+says (else the halves, or its parts, would add up to more). So part by part each value of the part is looked up with all values
+that close, the fingerprints under them are compared by that part's half, and the few whose half is near are compared whole. For
+radius 28 halves are compared for 6 % of all pairs, and every pair within the radius is among them. Up to ``SMALL`` fingerprints
+are compared each with each.
 
 Fingerprints are cut into blocks by a hash; a task has two blocks (or one with itself) and one part, so what a task holds is
 bounded, whatever the texts are like, and nothing is broadcast. They travel as packed bytes. The more blocks, the more tasks
@@ -55,8 +57,8 @@ CELL, CELL_SMALL = 1_000_000, 10_000
 SMALL = 30_000
 #: Tasks at least, where they are searched by parts, and at most.
 TASKS, MOST_TASKS = 32, 5_000
-#: Pairs compared at once, and pairs found that are kept before they are joined.
-PAIRS, FOUND = 200_000, 500_000
+#: Pairs taken up at once, those of them compared in one go (what fits a core's cache), and pairs found that are kept before they are joined.
+PAIRS, CACHED, FOUND = 200_000, 64_000, 500_000
 
 #: spread[b] has bit i of the byte b in the i-th of eight bytes, highest bit first.
 _SPREAD = np.array([sum((b >> i & 1) << 8 * (7 - i) for i in range(8)) for b in range(256)], np.uint64)
@@ -185,11 +187,23 @@ def spanning(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np
     return rest, label[rest]
 
 
+def _shares(radius: int, levels: int) -> list[int]:
+    """The radius cut in two, ``levels`` times: were each share to be exceeded by one at least, they would add up to more than the radius."""
+    shares = [radius + 1]
+    for _ in range(levels):
+        shares = [x for b in shares for x in (b - b // 2, b // 2)]
+    return [b - 1 for b in shares]
+
+
+def limits(radius: int) -> list[int]:
+    """For each half a number of bits, such that two fingerprints within ``radius`` differ in no more in some half."""
+    return _shares(radius, 1)
+
+
 def reaches(radius: int) -> list[int]:
-    """For each part a number of bits, such that two fingerprints within ``radius`` differ in no more in some part; -1: no need to
-    look there. Were they to differ in one more at least in every part, it would be ``radius`` + 1."""
-    each, more = divmod(radius + 1, PARTS)
-    return [each - (i >= more) for i in range(PARTS)]
+    """For each part a number of bits, such that two fingerprints that differ in no more than ``limits`` in a half differ in no more
+    in some part of that half; -1: no need to look there."""
+    return _shares(radius, PARTS.bit_length() - 1)
 
 
 def linked(fp: np.ndarray, cell: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +281,10 @@ def joined(fp: np.ndarray, low: int, radius: int, part: int | None = None, turn:
     ball = _MASKS[: 1 if part is None else np.count_nonzero(np.bitwise_count(_MASKS) <= reaches(radius)[part])]
     ask = np.argsort(key[:low], kind="stable")
     node = ask if low == n else low + np.argsort(key[low:], kind="stable")
-    hi, lo = fp[node, 0], fp[node, 1]
+    half = None if part is None else 2 * part // PARTS
+    sides = [(np.ascontiguousarray(fp[:, i]), fp[node, i]) for i in (0, 1) if half in (None, i)]
+    limit = radius if part is None else limits(radius)[half]
+    rest = fp if part is None else fp[:, [1 - half]]
     first = np.searchsorted(key[node], np.arange((1 << 16) + 1))
     heads = np.flatnonzero(np.diff(key[ask], prepend=-1))
     count = np.arange(n)
@@ -295,17 +312,27 @@ def joined(fp: np.ndarray, low: int, radius: int, part: int | None = None, turn:
                 left = left[~np.isin(left, some, assume_unique=True)]
             else:
                 left = left[:0]
-            hit = np.bitwise_count(fp[some, 0][:, None] ^ hi[at]) + np.bitwise_count(fp[some, 1][:, None] ^ lo[at]) <= radius
-            if hit.any():
-                q, at_hit = np.nonzero(hit)
-                found.append((some[q], node[at[at_hit]]))
+            theirs = [b[at] for _, b in sides]
+            rows = max(1, CACHED // len(at))
+            for i in range(0, len(some), rows):
+                apart = [np.bitwise_count(a[some[i : i + rows], None] ^ b) for (a, _), b in zip(sides, theirs)]
+                apart = apart[0] if len(apart) == 1 else apart[0] + apart[1]
+                pair = np.flatnonzero(apart <= limit)
+                q, to = some[i + pair // len(at)], node[at[pair % len(at)]]
+                other = q != to
+                if not other.any():
+                    continue
+                if part is not None:
+                    other &= apart.ravel()[pair] + np.bitwise_count(rest[q] ^ rest[to])[:, 0] <= radius
+                q, to = q[other], to[other]
+                found.append((q, to))
                 held += len(q)
-                if held > FOUND:
-                    label, found, held = merged(label, *map(np.concatenate, zip(*found))), [], 0
+            if held > FOUND:
+                label, found, held = merged(label, *map(np.concatenate, zip(*found))), [], 0
     if found:
         label = merged(label, *map(np.concatenate, zip(*found)))
-    rest = np.flatnonzero(label != np.arange(n))
-    return rest, label[rest]
+    end = np.flatnonzero(label != np.arange(n))
+    return end, label[end]
 
 
 def _pack(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

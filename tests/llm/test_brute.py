@@ -164,6 +164,20 @@ def test_simhash_compares_few_pairs(monkeypatch):
         assert sum(compared) / 2 < share * len(fp) ** 2 / 2, sum(compared) / len(fp) ** 2
 
 
+def test_simhash_compares_halves_first(monkeypatch):
+    """Of random fingerprints one half, a word of two, is compared for 6 % of all pairs, and the other for hardly any."""
+    fp = np.random.default_rng(9).integers(0, 1 << 63, (2500, 2), dtype=np.uint64)
+    count, words = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (words.append(x.size if x.ndim == 2 else 0), count(x))[1])
+    for part in range(simhash.PARTS):
+        simhash.joined(fp, len(fp), simhash.RADIUS, part)
+    assert 0 < sum(words) < 0.08 * len(fp) ** 2 / 2
+    for radius in (0, 3, 7, 28, 31):
+        reach = simhash.reaches(radius)
+        assert [sum(r + 1 for r in reach[i : i + simhash.PARTS // 2]) - 1 for i in (0, simhash.PARTS // 2)] == simhash.limits(radius)
+        assert sum(x + 1 for x in simhash.limits(radius)) == radius + 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
