@@ -3,6 +3,7 @@
 import ast
 import json
 import subprocess
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -357,3 +358,59 @@ def test_order_of_rows_does_not_matter(spark):
 
     for f in (structure.hub_removal, structure.name_resolution_quota, structure.map_rollup_edges, flows.depth_from_roots, structure.cochange_pairs):
         assert sorted(map(str, f(t).collect())) == sorted(map(str, f(Shuffled(spark, t.folder)).collect())), f.__name__
+
+
+def moved(spark, frame):
+    """Rows of the frame and the rows that were shuffled for them."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    rows = frame.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return rows, written() - before
+
+
+def test_nearest_units_do_not_shuffle_their_pairs(spark):
+    rng = np.random.default_rng(5)
+    units = {u: rng.integers(0, 120, 40).tolist() for u in range(400)}
+    units |= {1000 + k: units[k % 10] for k in range(50)}  # ties beyond the 30th
+    words = spark.createDataFrame([(u, f"t{x}") for u, xs in units.items() for x in xs], "u int, term string")
+    rows, n = moved(spark, similarity.tfidf(words, "u", share=0.9))
+    df = Counter(x for xs in units.values() for x in set(xs))
+    vectors = np.zeros((len(units), 120))
+    for i, xs in enumerate(units.values()):
+        for x, tf in Counter(xs).items():
+            vectors[i, x] = (1 + np.log(tf)) * np.log(len(units) / df[x]) if df[x] < 0.9 * len(units) else 0
+    vectors /= np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    cosine = np.round(vectors @ vectors.T, 6)
+    np.fill_diagonal(cosine, 0)
+    names = list(units)
+    want = {(names[a], names[b]) for a in range(len(names)) for b in np.flatnonzero((cosine[a] > 0) & (cosine[a] >= np.sort(cosine[a])[-30]))}
+    assert {(r.a, r.b) for r in rows} == want and len(rows) == len(want)
+    assert max(abs(r.cosine - cosine[names.index(r.a), names.index(r.b)]) for r in rows) < 2e-6
+    assert n < 0.7 * len(units) ** 2
+
+
+def test_homonyms_are_not_shuffled(spark):
+    from refgraph.plans import structure
+
+    class Same(registry.Tables):
+        def __getitem__(self, name):
+            frame = super().__getitem__(name)
+            return frame.withColumns({"p_name": F.lit("blue bolt"), "p_brand": F.lit("Brand#1"), "p_type": F.lit("SMALL")}) if name == "part" else frame
+
+    t = Same(spark, "/root/testdata/sf0.001")
+    lines = t["lineitem"].toPandas()
+    each = lines.assign(s=np.where(lines.l_returnflag == "N", 1.0, 0.25)).groupby("l_suppkey").s.agg(["sum", "count"])
+    parts = t["part"].count()
+    for f in (structure.name_resolution_quota, structure.strong_edges):
+        rows, n = moved(spark, f(t))
+        assert len(rows) == len(each) * parts and n < 4 * len(lines)
+        if f is structure.strong_edges:
+            assert not any(r.strong for r in rows)
+        else:
+            assert all(r.sites == each["count"][r.owner] and abs(r.weight - each["sum"][r.owner] / parts) < 1e-6 for r in rows)
