@@ -417,3 +417,49 @@ def test_homonyms_are_not_shuffled(spark):
             assert not any(r.strong for r in rows)
         else:
             assert all(r.sites == each["count"][r.owner] and abs(r.weight - each["sum"][r.owner] / parts) < 1e-6 for r in rows)
+
+
+def written_texts(spark):
+    """Texts with 300 copies of one, near copies, parts and a phrase that all share: (id, source, text)."""
+    rng = np.random.default_rng(8)
+    texts = [["same"] * 30 + [f"w{x}" for x in rng.integers(0, 50, 20)]] * 300
+    for size in (8, 12, 30, 90):
+        base = [f"v{x}" for x in rng.integers(0, 400, size)]
+        for k in range(12):
+            new = base[: size - k // 4]
+            new[k % len(new)] = f"x{k % 5}"
+            texts += [new, ["same"] * 30 + new]
+    rows = [(i, f"s{i * 7 % 5}" if i % 11 else None, " ".join(w)) for i, w in enumerate(texts)]
+    return rows, spark.createDataFrame(rows, "id long, source string, text string")
+
+
+def test_lookup_does_not_pair_copies(spark):
+    rows, frame = written_texts(spark)
+    n = frame.select("id", "source", F.md5(F.substring("text", 1, 200)).alias("shape"), runs.numbers(F.col("text")).alias("s")).checkpoint()
+    got, shuffled = moved(spark, similarity.nearest_elsewhere(n))
+    units, want = {r.id: (r.source, r.shape, list(r.s)) for r in n.collect()}, {}
+    for i, (source, shape, s) in units.items():
+        for o, (other, shape2, s2) in units.items():
+            if source and other and source != other and (shape == shape2 or set(s) & set(s2)):
+                m = min(len(s), len(s2))
+                j = 1.0 if shape == shape2 else len(set(sorted({*s, *s2})[:m]) & set(s) & set(s2)) / m
+                if j >= 0.75:
+                    want[i] = min(want.get(i, (0, 0)), (-float(f"{j + 1e-9:.2f}"), o))
+    assert {r.id: (-r.jaccard, r.found) for r in got} == want and len(got) == len(want)
+    assert shuffled < 300 * 299 / 4
+
+
+def test_near_pairs_do_not_shuffle_copies(spark):
+    rows, frame = written_texts(spark)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, _, text in rows for w in [text.split()]}
+    want = {(a, b): len(x & y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 3 and len(x & y) / len(x | y) >= 0.8}
+    got, shuffled = moved(spark, similarity.near_pairs(frame, "id", "text"))
+    assert {(r.a, r.b): r.common for r in got} == want and len(got) == len(want) and shuffled < 300 * 299 / 4
+    side = {i: i % 3 == 0 for i in sets}
+    twin = similarity.twins(frame.withColumn("new", F.col("id") % 3 == 0), "id", "text", "new").collect()
+    best = {}
+    for (a, b), n in want.items():
+        for x, y in ((a, b), (b, a)):
+            if side[x] and not side[y]:
+                best[x] = min(best.get(x, (0, 0)), (-round(n / len(sets[a] | sets[b]), 6), y))
+    assert {r.id: (-r.jaccard, r.twin) for r in twin} == best
