@@ -463,3 +463,24 @@ def test_near_pairs_do_not_shuffle_copies(spark):
             if side[x] and not side[y]:
                 best[x] = min(best.get(x, (0, 0)), (-round(n / len(sets[a] | sets[b]), 6), y))
     assert {r.id: (-r.jaccard, r.twin) for r in twin} == best
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    from refgraph.plans import flows, views
+
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    for f in (flows.liveness_levels, views.census_levels):
+        frame = f(t)
+        frame.collect()
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString(), f.__name__
+
+
+def test_group_weights_are_summed_before_directions(spark):
+    pairs = [(a, b) for a in range(60) for b in range(60)]
+    w = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] * 2, "src int, dst int, w double")
+    groups = spark.createDataFrame([(x, x % 3) for x in range(60)], "id int, grp int")
+    rows, shuffled = moved(spark, graph.cells(w, groups))
+    assert {(r.a, r.b): r.w for r in rows} == {(a, b): 4.0 * (380 if a == b else 400) for a in range(3) for b in range(3)}
+    assert shuffled < 60  # the cells that were kept, not pairs of nodes
+    counts = similarity.cochange(spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (4, None), (4, "a")], "sha int, file string"), least=0.0).collect()
+    assert [tuple(r) for r in counts] == [("a", "b", 2, 2 / 3)]
