@@ -484,3 +484,18 @@ def test_group_weights_are_summed_before_directions(spark):
     assert shuffled < 60  # the cells that were kept, not pairs of nodes
     counts = similarity.cochange(spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (4, None), (4, "a")], "sha int, file string"), least=0.0).collect()
     assert [tuple(r) for r in counts] == [("a", "b", 2, 2 / 3)]
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_many_ends_are_not_multiplied_by_cases(few, spark, flip):
+    """200 sources and two ways of three nodes to the sink: each case is searched from the end of fewer nodes."""
+    rows = [(f"s{i}", x) for i in range(200) for x in ("a1", "b1")] + [(f"{x}{k}", f"{x}{k + 1}") for x in "ab" for k in (1, 2)] + [("a3", "m"), ("b3", "m"), ("m", "z")]
+    e = spark.createDataFrame([(b, a) if flip else (a, b) for a, b in rows], "src string, dst string")
+    source, sink = spark.createDataFrame([(f"s{i}",) for i in range(200)], "id string"), ids(spark, "z")
+    ends = (sink, source) if flip else (source, sink)
+    tried = ["a1", "a2", "a3", "b1", "b2", "b3", "m"]
+    assert routes.cutting(*ends, e, tried) == ["m"]
+    want = ["a3", "b3", "m"] if flip else ["a1", "b1", "m"]  # their callers are m, or all the sources
+    assert routes.cutting(*ends, e, tried, "requires") == want
+    on, a, z, kept = routes.within(*ends, e.unionByName(spark.createDataFrame([("m", "out"), ("q", "m")], "src string, dst string")))
+    assert {r.id for r in on.collect()} == {x for r in rows for x in r} and kept.count() == len(rows) and a.count() + z.count() == 201
